@@ -228,8 +228,11 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     texts = [raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
                     n, hits, found = search(texts, p)
                     spans = [_spans(h) if f else [] for h, f in zip(hits, found, strict=True)]
-                    clean = [remove_words(x, s).decode() if s else None for x, s in zip(texts, spans, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(n), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted({p.names[k] for k in f}) for f in found], pa.list_(pa.string())), pa.compute.if_else(pa.array([bool(s) for s in spans]), pa.array(clean, pa.string()), part.column("t").cast(pa.string()))], names=[*carried, "n_words", "hit_spans", "item_ids", "clean_text"])
+                    changed = [k for k, x in enumerate(spans) if x]
+                    pick = np.arange(len(texts))
+                    pick[changed] = len(texts) + np.arange(len(changed))
+                    clean = pa.concat_arrays([part.column("t").cast(pa.string()), pa.array([remove_words(texts[k], spans[k]).decode() for k in changed], pa.string())]).take(pa.array(pick))
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(n), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted({p.names[k] for k in f}) for f in found], pa.list_(pa.string())), clean], names=[*carried, "n_words", "hit_spans", "item_ids", "clean_text"])
 
         return run
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, packing, rpforest, simhash, substring
+from . import fmindex, linededup, packing, rpforest, simhash, substring
 
 
 #: A public BPE vocabulary with word ends, as the tokenizers library reads it.
@@ -46,12 +46,16 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", hits.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"), keep_text=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_embedding_near_dedup, op4_simhash_near_dedup, op5_best_fit_packing, op8_benchmark_decontamination, op10_substring_dedup)}
+    return {f.__name__: f for f in (op3_embedding_near_dedup, op4_simhash_near_dedup, op5_best_fit_packing, op8_benchmark_decontamination, op9_line_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,6 +20,8 @@ from .common import arrow, batch_of, partitions
 
 #: Fingerprints that a run holds before it is written.
 RUN_ROWS = 1 << 20
+#: Buckets for each shuffle partition.
+BUCKETS = 4
 
 RUN_SCHEMA = "bucket int, chunk long, n int, a binary, b binary, c binary"
 _RUN = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
