@@ -100,15 +100,15 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with at most so many bytes of text, or one row."""
+def slices(batch: pa.RecordBatch, text: str, most: int = CHUNK_BYTES, rows: int = 8192) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most so many rows and bytes of text, or one row."""
     if batch.num_rows == 0:
         return
     _, off = utf8(batch.column(text))
     at = 0
     while at < batch.num_rows:
         to = int(np.searchsorted(off, off[at] + most, "right")) - 1
-        to = min(max(to, at + 1), batch.num_rows)
+        to = min(max(to, at + 1), at + rows, batch.num_rows)
         yield batch.slice(at, to - at)
         at = to
 
@@ -205,3 +205,13 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def sample_by_class(rows: DataFrame, label: str, key: str, each: int, parts: int = 1 << 20) -> DataFrame:
+    """About `each` rows of each class, or all it has: a fixed choice by hash of the key, so it needs no sort.
+
+    Only the number of rows of each class is counted; the classes are few.
+    """
+    counts = rows.groupBy(label).agg(F.count("*").alias("class_rows"))
+    share = F.least(F.lit(1.0), F.lit(float(each)) / F.col("class_rows"))
+    return rows.join(F.broadcast(counts.limit(10_000)), label).where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(parts)) < share * parts).drop("class_rows")
