@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, langid, linededup, packing, quality, rpforest, simhash, substring
+from . import fmindex, langid, linededup, packing, pii, quality, rpforest, simhash, substring
 
 
 #: A public BPE vocabulary with word ends, as the tokenizers library reads it.
@@ -28,6 +28,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"), with_redacted=False)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_held_out(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -63,7 +67,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_best_fit_packing, op7_language_id, op8_benchmark_decontamination, op9_line_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_quality_classifier, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_best_fit_packing, op7_language_id, op8_benchmark_decontamination, op9_line_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
