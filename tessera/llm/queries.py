@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, langid, linededup, packing, pii, quality, rpforest, simhash, substring
+from . import fmindex, langid, lblm, linededup, packing, pii, quality, rpforest, simhash, substring
 
 
 #: A public BPE vocabulary with word ends, as the tokenizers library reads it.
@@ -48,6 +48,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lblm.score_held_out(_table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(_table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_quality_classifier, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_best_fit_packing, op7_language_id, op8_benchmark_decontamination, op9_line_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_quality_classifier, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_best_fit_packing, op6_lm_scoring, op7_language_id, op8_benchmark_decontamination, op9_line_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
