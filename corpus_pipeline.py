@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: stages over documents, each written and read again.
+
+Language identification, line deduplication, near-duplicate removal,
+benchmark decontamination, and packing into sequences. Every stage takes all
+that the one before kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +12,60 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash
+from tessera.llm import fmindex, langid, linededup, packing, simhash
 from tessera.llm.common import cut
+from tessera.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language the calibrated model can't tell, go.
+
+    The model learns from the stage's own documents with a known language. The
+    lang column stays as it is. A null text goes; repeated rows are judged alike.
+    """
+    found = langid.identify(docs, langid.fit(docs), carry=["text", "lang", "source", "n_chars"])
+    return found.where(~F.col("rejected")).select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that a line before them resembles go; so does a document of which only blank lines are left by that.
+
+    n_chars is counted anew. A text that was null or blank stays as it is.
+    """
+    found = linededup.dedup_lines(docs, carry=["lang", "source"])
+    left = F.coalesce(F.col("n_removed") == 0, F.lit(True)) | F.col("kept_text").rlike(r"[^ \t\n\x0B\f\r]")
+    return found.where(left).select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest id."""
+    """One document of each SimHash group stays: the one with the smallest id. Rows without an id go."""
     groups = simhash.near_duplicates(docs)
     return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("near_dedup", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that hold windows of benchmark items are cut out; n_chars is counted anew."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = fmindex.find_phrases(docs, benchmark, carry=["lang", "source"])
+    return found.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of all documents left: a row for each piece and its place."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("pack", pack),
+]
 
+#: SQL can't express a trained model, the signatures or the packing; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -215,3 +215,15 @@ def sample_by_class(rows: DataFrame, label: str, key: str, each: int, parts: int
     counts = rows.groupBy(label).agg(F.count("*").alias("class_rows"))
     share = F.least(F.lit(1.0), F.lit(float(each)) / F.col("class_rows"))
     return rows.join(F.broadcast(counts.limit(10_000)), label).where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(parts)) < share * parts).drop("class_rows")
+
+
+def carried(docs: DataFrame, carry: list[str]) -> tuple[list[Column], list[str], str]:
+    """Columns that go through an operator as they are, under names of its own: the columns, those names, and their types for a schema."""
+    names = [f"carry{k}" for k in range(len(carry))]
+    kinds = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, carry, strict=True))
+    return [F.col(f"`{c}`").alias(n) for n, c in zip(names, carry, strict=True)], names, kinds
+
+
+def uncarried(df: DataFrame, carry: list[str], **renamed: str) -> DataFrame:
+    """df with its carried columns, and others, under their final names."""
+    return df.withColumnsRenamed({f"carry{k}": c for k, c in enumerate(carry)} | renamed)

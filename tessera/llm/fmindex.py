@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, slices, utf8
+from .common import arrow, carried, slices, uncarried, utf8
 
 #: Words of a window.
 WINDOW = 10
@@ -197,8 +197,8 @@ def remove_words(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 _FOUND = "n_words long, hit_spans array<struct<start:int,end:int>>, item_ids array<string>"
 
 
-def find_phrases(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id_col, n_words, hit_spans, item_ids, clean_text) for every row of docs.
+def find_phrases(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: list[str] = []) -> DataFrame:
+    """(id_col, n_words, hit_spans, item_ids, clean_text, *carry) for every row of docs.
 
     hit_spans are merged ranges of words inside occurrences of benchmark
     windows, item_ids the items found, sorted as strings, clean_text the text
@@ -216,7 +216,8 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("name"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + F.octet_length("name"))).first()[0] or 0
     passes = int(size // block_bytes) + 1
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
+    columns, names, kinds = carried(docs, carry)
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), *columns)
 
     def seek(phrases) -> callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +233,7 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     pick = np.arange(len(texts))
                     pick[changed] = len(texts) + np.arange(len(changed))
                     clean = pa.concat_arrays([part.column("t").cast(pa.string()), pa.array([remove_words(texts[k], spans[k]).decode() for k in changed], pa.string())]).take(pa.array(pick))
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(n), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted({p.names[k] for k in f}) for f in found], pa.list_(pa.string())), clean], names=[*carried, "n_words", "hit_spans", "item_ids", "clean_text"])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), pa.array(n), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted({p.names[k] for k in f}) for f in found], pa.list_(pa.string())), clean], names=[*passed, "n_words", "hit_spans", "item_ids", "clean_text"])
 
         return run
 
@@ -241,10 +242,10 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return spark.sparkContext.broadcast([(r.name, r.text.encode()) for r in mine.collect()])
 
     if passes == 1:
-        carried = ["i"]
-        return arrow(rows, seek(block(0)), f"i {kind}, {_FOUND}, clean_text string").withColumnRenamed("i", id_col)
+        passed = ["i", *names]
+        return uncarried(arrow(rows, seek(block(0)), f"i {kind}{kinds}, {_FOUND}, clean_text string"), carry, i=id_col)
     keyed = rows.withColumns({"k1": F.xxhash64("i"), "k2": F.xxhash64("t")})
-    carried = ["k1", "k2"]
+    passed = ["k1", "k2"]
     parts = [arrow(keyed, seek(block(k)), f"k1 long, k2 long, {_FOUND}, clean_text string").where("size(item_ids) > 0").select("k1", "k2", "hit_spans", "item_ids") for k in range(passes)]
     found = parts[0]
     for x in parts[1:]:
@@ -262,9 +263,9 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     hit[x["start"] : x["end"]] = True
                 spans.append(_spans(hit))
                 clean.append(t if not s else remove_words(raw, spans[-1]).decode())
-            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(n, pa.int64()), pa.array([[{"start": x, "end": y} for x, y in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted(f or []) for f in b.column("f").to_pylist()], pa.list_(pa.string())), pa.array(clean, pa.string())], names=["i", "n_words", "hit_spans", "item_ids", "clean_text"])
+            yield pa.RecordBatch.from_arrays([b.column("i"), *(b.column(c) for c in names), pa.array(n, pa.int64()), pa.array([[{"start": x, "end": y} for x, y in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted(f or []) for f in b.column("f").to_pylist()], pa.list_(pa.string())), pa.array(clean, pa.string())], names=["i", *names, "n_words", "hit_spans", "item_ids", "clean_text"])
 
-    return arrow(keyed.join(found, ["k1", "k2"], "left").select("i", "t", "s", "f"), merge, f"i {kind}, {_FOUND}, clean_text string").withColumnRenamed("i", id_col)
+    return uncarried(arrow(keyed.join(found, ["k1", "k2"], "left").select("i", "t", "s", "f", *names), merge, f"i {kind}{kinds}, {_FOUND}, clean_text string"), carry, i=id_col)
 
 
 def digest(item_ids: list[str]) -> str:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, remainder, sample_by_class, slices, utf8
+from .common import arrow, carried, remainder, sample_by_class, slices, uncarried, utf8
 
 #: Documents of each language that the model is trained on, at most about so many.
 TRAIN_EACH = 400
@@ -150,8 +150,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train([r.t.encode() for r in chosen], [r.y for r in chosen])
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, lang_pred, score, rejected) for every row of docs, over whole texts.
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = []) -> DataFrame:
+    """(id_col, lang_pred, score, rejected, *carry) for every row of docs, over whole texts.
 
     A null text and one without any letter are "und" with score 0 and rejected, as is
     every text if there is no model. rejected also holds if the calibrated
@@ -161,6 +161,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
+    columns, names, kinds = carried(docs, carry)
     shared = spark.sparkContext.broadcast(model)  # languages x 2**15 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,11 +172,11 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 letters = part.column("letters").to_numpy(zero_copy_only=False) if m else np.zeros(part.num_rows, bool)
                 best, p, low = m.predict(data, off) if m else (np.zeros(part.num_rows, int), np.zeros(part.num_rows), ~letters)
                 langs = [m.langs[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), letters.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(langs, pa.string()), pa.array(np.where(letters, p, 0.0)), pa.array(~letters | low)], names=["i", "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(langs, pa.string()), pa.array(np.where(letters, p, 0.0)), pa.array(~letters | low), *(part.column(n) for n in names)], names=["i", "lang_pred", "score", "rejected", *names])
 
     letters = F.coalesce(F.col("t").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).withColumn("letters", letters)
-    return arrow(rows, run, f"i {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("i", id_col)
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), *columns).withColumn("letters", letters)
+    return uncarried(arrow(rows, run, f"i {kind}, lang_pred string, score double, rejected boolean{kinds}"), carry, i=id_col)
 
 
 def identify_held_out(docs: DataFrame, folds: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, arrow, batch_of, cut, mix, partitions, slices, utf8
+from .common import Rolling, arrow, batch_of, carried, cut, mix, partitions, slices, uncarried, utf8
 from .graph import components
 from .runs import BUCKETS, bucket_of
 
@@ -274,8 +274,8 @@ def near_line_edges(docs: DataFrame, text_col: str = "t", similarity: float = 0.
     return arrow(meet, verify, "a long, b long")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """(id_col, n_lines, n_removed, kept_text) for every row of docs.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, carry: list[str] = []) -> DataFrame:
+    """(id_col, n_lines, n_removed, kept_text, *carry) for every row of docs.
 
     Lines are what newlines part. Two lines are the same if they are equal
     without white space at their ends and with A-Z in lower case, or if their
@@ -293,7 +293,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other columns are not read. No rows give no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).withColumns({"k1": F.xxhash64("i"), "k2": F.xxhash64("t")})
+    columns, names, kinds = carried(docs, carry)
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), *columns).withColumns({"k1": F.xxhash64("i"), "k2": F.xxhash64("t")})
 
     def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,7 +303,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 at = pa.array(x.owner)
                 yield pa.RecordBatch.from_arrays([pa.array(x.keys().view(np.int64)), part.column("i").take(at), part.column("k1").take(at), part.column("k2").take(at), pa.array(x.number.astype(np.int32))], names=["key", "i", "k1", "k2", "line"])
 
-    lines = cut(arrow(rows, occur, f"key long, i {kind}, k1 long, k2 long, line int"))
+    lines = cut(arrow(rows.select("i", "t", "k1", "k2"), occur, f"key long, i {kind}, k1 long, k2 long, line int"))
     place = F.struct(F.col("i").isNull().alias("last"), F.col("i"), F.col("line"), F.col("k2"))
     firsts = lines.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     roots = components(near_line_edges(rows, "t", similarity)).select(F.col("id").alias("key"), "root")
@@ -328,6 +329,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     total.append(n)
                     removed.append(len(g))
                     kept.append(text)
-                yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["i", "n_lines", "n_removed", "kept_text"])
+                yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *(part.column(n) for n in names)], names=["i", "n_lines", "n_removed", "kept_text", *names])
 
-    return arrow(rows.join(gone, ["k1", "k2"], "left").select("i", "t", "gone"), rebuild, f"i {kind}, n_lines long, n_removed long, kept_text string").withColumnRenamed("i", id_col)
+    return uncarried(arrow(rows.join(gone, ["k1", "k2"], "left").select("i", "t", "gone", *names), rebuild, f"i {kind}, n_lines long, n_removed long, kept_text string{kinds}"), carry, i=id_col)
