@@ -12,50 +12,90 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, batch_of, cut, slices, utf8
+from .common import SPACE, Rolling, arrow, cut, slices, utf8, word_spans
 
 #: Tokens of a sequence.
 CAPACITY = 4096
 #: The id that ends each document.
 END = 1
 #: Words whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 700_000
+#: Parts words that are encoded together; as an added token it has an id that no text gets.
+_PART = "<|startoftext|>"
 
 _PIECES = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int64()), ("nth", pa.int64())])
-_PLACES = pa.schema([("sequence_id", pa.int64()), ("offset", pa.int64())])
 _tokenizers: dict[int, tuple] = {}
+_WORD = Rolling(41)
+_UPPER = np.array([65 <= c <= 90 for c in range(256)])
+_ALNUM = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 for c in range(256)])
+_PUNCT = np.array([33 <= c <= 126 and not chr(c).isalnum() and c != 39 for c in range(256)])
 
 
 def _tokenizer(text: str) -> tuple:
+    """The tokenizer twice, with the strings of special tokens as ordinary text and as tokens, and the ids of words so far."""
     key = hash(text)
     if key not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_str(text)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _tokenizers[key] = (t, {})
+        plain, parted = Tokenizer.from_str(text), Tokenizer.from_str(text)
+        plain.encode_special_tokens = True
+        _tokenizers[key] = (plain, parted, parted.token_to_id(_PART), {})
     return _tokenizers[key]
 
 
-def token_ids(texts: list[bytes], tokenizer: tuple) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit integers.
+def _learn(words: list[bytes], tokenizer: tuple) -> None:
+    """Encode words that are new."""
+    plain, parted, mark, known = tokenizer
+    odd = [w for w in words if b"<|" in w]
+    words = [w for w in words if b"<|" not in w]
+    for at in range(0, len(words), 20_000):
+        part = words[at : at + 20_000]
+        joined = [_PART.join([w.decode() for w in part[k : k + 200]]) for k in range(0, len(part), 200)]
+        ids = np.array([i for e in parted.encode_batch_fast(joined, add_special_tokens=False) for i in (*e.ids, mark)], "<u4")
+        ends = np.flatnonzero(ids == mark)
+        raw, first = ids.tobytes(), np.concatenate([[0], ends[:-1] + 1])
+        known.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip(first.tolist(), ends.tolist(), strict=True)], strict=True))
+    for w in odd:
+        known[w] = np.array(plain.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def token_ids(data: np.ndarray, off: np.ndarray, tokenizer: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, one after the other, and where each text's begin.
 
     For a vocabulary that drops white space and whose pieces never reach over
     it, a text's ids are those of its words, one after the other; so each
-    distinct word is encoded once.
+    distinct word is encoded once. To have fewer, a mark after an ASCII letter
+    or digit is a word of its own (no piece holds both, but after an
+    apostrophe), and A-Z are lower-cased where no combining mark can follow.
     """
-    t, known = tokenizer
-    split = [x.split() for x in texts]
-    new = list(set().union(*split) - known.keys())
+    if len(data):
+        nxt = np.concatenate([data[1:], [np.uint8(32)]])
+        low = np.where(_UPPER[data] & (nxt < 128), data + np.uint8(32), data).astype(np.uint8)
+        apart = np.zeros(len(data), bool)
+        apart[1:] = _PUNCT[data[1:]] & _ALNUM[data[:-1]]
+        shift = np.cumsum(apart)
+        wide = np.full(len(data) + int(shift[-1]), 32, np.uint8)
+        wide[np.arange(len(data)) + shift] = low
+        off = off + np.concatenate([[0], shift])[off]
+        data = wide
+    starts, ends, first = word_spans(data, off, ~SPACE)
+    if not len(starts):
+        return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+    _, at, which = np.unique(_WORD.words(data, starts, ends), return_index=True, return_inverse=True)
+    raw, known = data.tobytes(), tokenizer[3]
+    words = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+    new = [w for w in words if w not in known]
     if len(known) + len(new) > CACHE:
         known.clear()
-        new = list(set().union(*split))
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for word, e in zip(part, t.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            known[word] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+        new = words
+    _learn(new, tokenizer)
+    ids = [known[w] for w in words]
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat, begin = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
+    n = size[which]
+    total = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.arange(total[-1]) + np.repeat(begin[which] - total[:-1], n)], total[first]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, capacity: int = CAPACITY) -> DataFrame:
@@ -67,19 +107,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, cap
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, task = _tokenizer(vocabulary.value), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
-        end = np.array([END], "<u4").tobytes()
+        end = np.array([END], "<u4")
         for batch in batches:
             for part in slices(batch, "t"):
-                data, off = utf8(part.column("t"))
-                raw = data.tobytes()
+                flat, begin = token_ids(*utf8(part.column("t")), tokenizer)
                 rows, out = [], []
-                for i, ids in enumerate(token_ids([raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], tokenizer)):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        x = ids[at : at + 4 * capacity]
-                        n = len(x) // 4
+                for i, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+                    for k, at in enumerate(range(0, b - a + 1, capacity)):
+                        x = flat[a + at : min(a + at + capacity, b)]
+                        x = x if a + at + capacity <= b else np.append(x, end)
+                        n = len(x)
                         rows.append(i)
-                        out.append((k, at // 4, n, zlib.crc32(x), task, seen.get(n, 0)))
+                        out.append((k, at, n, zlib.crc32(x.tobytes()), task, seen.get(n, 0)))
                         seen[n] = seen.get(n, 0) + 1
                 names = ["i", *(f.name for f in _PIECES)]
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PIECES, strict=True)]
