@@ -11,12 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, Rolling, arrow, batch_of, cut, mix, partitions, slices, utf8, word_spans
-from .runs import RUN_SCHEMA, RunWriter, repeats
+from .runs import BUCKETS, RUN_SCHEMA, RunWriter, repeats
 
 #: Words of the short fingerprints of which each window selects its smallest.
 GRAM = 8
-#: Buckets of the index for each shuffle partition.
-BUCKETS = 4
 
 _WORD, _GRAM, _WINDOW, _CHECK = Rolling(11), Rolling(12), Rolling(13), Rolling(14)
 _TOP = np.uint64(2**64 - 1)
@@ -94,7 +92,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 data, starts, ends, first, _ = _words(part)
                 open_ = part.column("at").is_valid()
                 sha = [None if o else hashlib.sha256(b" ".join(x.split())).hexdigest() for o, x in zip(open_.to_pylist(), _raw(part), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("t") if keep_text else pa.compute.if_else(open_, part.column("t"), None), part.column("k1"), part.column("k2"), part.column("at"), pa.array(np.diff(first)), pa.array(sha, pa.string())], names=["i", "t", "k1", "k2", "at", "n_words", "sha"])
+                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("t") if keep_text else part.column("t").take(pa.array(np.arange(len(sha)), mask=~open_.to_numpy(zero_copy_only=False))), part.column("k1"), part.column("k2"), part.column("at"), pa.array(np.diff(first)), pa.array(sha, pa.string())], names=["i", "t", "k1", "k2", "at", "n_words", "sha"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = RunWriter(buckets, 2)
