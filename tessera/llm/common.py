@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -19,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.checkpoint import cut  # noqa: F401  the operators take it from here
+
 #: Bytes of text that a task turns into numpy arrays at once.
 CHUNK_BYTES = 2 << 20
 
@@ -47,27 +48,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and return a reader of what was written.
-
-    This ends the lineage, so later stages survive lost executors, and each
-    row is computed once. The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
