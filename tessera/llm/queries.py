@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fmindex, langid, lblm, linededup, packing, pii, quality, rpforest, simhash, substring
-
+from .sql import SQL
 
 #: A public BPE vocabulary with word ends, as the tokenizers library reads it.
 TOKENIZER = "word_bpe_49k.json"
@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
