@@ -23,9 +23,9 @@ RUN_ROWS = 1 << 20
 #: Buckets for each shuffle partition.
 BUCKETS = 4
 
-RUN_SCHEMA = "bucket int, chunk long, n int, a binary, b binary, c binary"
-_RUN = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-_FLAGGED = pa.schema([("chunk", pa.int64()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+RUN_SCHEMA = "bucket int, chunk long, n int, a binary, b binary, c binary, d binary"
+_RUN = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+_FLAGGED = pa.schema([("chunk", pa.int64()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 _ROWS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.binary())])
 
 
@@ -57,17 +57,25 @@ class RunWriter:
             chunk = (TaskContext.get().partitionId() << 32) | self.seq
             self.seq += 1
             k1, k2, first = (np.concatenate(x) for x in zip(*self.rows, strict=True))
-            # the rows of the run travel with it, so that it is computed once
-            yield batch_of(_RUN, [chunk % self.buckets], [chunk], [-1], [k1.tobytes()], [k2.tobytes()], [first.tobytes()])
             keys, at = np.concatenate(self.keys), np.concatenate(self.at)
             order = np.argsort(keys[:, 0])
-            keys, at = np.ascontiguousarray(keys[order]), at[order].astype(np.uint32)
+            keys, at = keys[order], at[order].astype(np.uint32)
+            # what repeats inside the run is known here; one of its copies tells the other runs, so a
+            # fingerprint that is everywhere comes to its bucket once from each run
+            again = np.zeros(len(keys), bool)
+            again[1:] = (keys[1:] == keys[:-1]).all(1)
+            local = again.copy()
+            local[:-1] |= again[1:]
+            known = at[local]
+            keys, at = np.ascontiguousarray(keys[~again]), at[~again]
+            # the rows of the run travel with it, so that it is computed once
+            yield batch_of(_RUN, [chunk % self.buckets], [chunk], [-1], [k1.tobytes()], [k2.tobytes()], [first.tobytes()], [known.tobytes()])
             which = bucket_of(keys[:, 0], self.buckets)
             cut = np.concatenate([[0], np.flatnonzero(np.diff(which)) + 1, [len(which)]]) if len(which) else np.zeros(1, int)
             s, e = cut[:-1], cut[1:]
             for lo in range(0, len(s), 256):
                 p = [(int(which[i]), keys[i:j].tobytes(), at[i:j].tobytes(), int(j - i)) for i, j in zip(s[lo : lo + 256], e[lo : lo + 256], strict=True)]
-                yield batch_of(_RUN, [x[0] for x in p], [chunk] * len(p), [x[3] for x in p], [x[1] for x in p], [x[2] for x in p], [None] * len(p))
+                yield batch_of(_RUN, [x[0] for x in p], [chunk] * len(p), [x[3] for x in p], [x[1] for x in p], [x[2] for x in p], [None] * len(p), [None] * len(p))
         self._clear()
 
 
@@ -79,17 +87,18 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 def repeats(runs: DataFrame, width: int) -> DataFrame:
     """(k1, k2, at): for each row with a fingerprint that stands anywhere else too, the little-endian int32 word positions of such ones.
 
-    A partition's blocks are held together: the number of shuffle partitions
-    sets how much that is, whatever the fingerprints are, because a
-    fingerprint's copies are kept in sorted arrays of 8 * width + 4 bytes each.
+    A partition's blocks are held together, as sorted arrays of 8 * width + 4
+    bytes an entry; the number of shuffle partitions sets how much that is. A
+    fingerprint has at most one entry for each run, however often it stands
+    in the corpus.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, bytes, bytes]]] = defaultdict(list)
         for b in batches:
-            for bucket, chunk, n, x, y, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for bucket, chunk, n, x, y, z, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if n < 0:
-                    yield batch_of(_FLAGGED, [chunk], [-1], [x], [y], [z])
+                    yield batch_of(_FLAGGED, [chunk], [-1], [x], [y], [z], [known])
                 else:
                     held[bucket].append((chunk, x, y))
         while held:
@@ -106,21 +115,23 @@ def repeats(runs: DataFrame, width: int) -> DataFrame:
             cut = np.concatenate([[0], np.flatnonzero(np.diff(run[hit])) + 1, [len(hit)]]) if len(hit) else np.zeros(1, int)
             out = [(blocks[run[hit[i]]][0], at[hit[i:j]].tobytes(), int(j - i)) for i, j in zip(cut[:-1], cut[1:], strict=True)]
             if out:
-                yield batch_of(_FLAGGED, [x[0] for x in out], [x[2] for x in out], [x[1] for x in out], [None] * len(out), [None] * len(out))
+                yield batch_of(_FLAGGED, [x[0] for x in out], [x[2] for x in out], [x[1] for x in out], [None] * len(out), [None] * len(out), [None] * len(out))
 
     def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[int, tuple[bytes, bytes, bytes]] = {}
         hits: dict[int, list[bytes]] = defaultdict(list)
         for b in batches:
-            for chunk, n, x, y, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for chunk, n, x, y, z, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if n < 0:
                     rows[chunk] = (x, y, z)
+                    if known:
+                        hits[chunk].append(known)
                 else:
                     hits[chunk].append(x)
         while hits:
             chunk, parts = hits.popitem()
             k1, k2, first = (np.frombuffer(x, np.int64) for x in rows[chunk])
-            at = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in parts])).astype(np.int64)
+            at = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in parts])).astype(np.int64)
             row = np.searchsorted(first, at, "right") - 1
             cut = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1, [len(row)]])
             for lo in range(0, len(cut) - 1, 4096):
@@ -129,5 +140,5 @@ def repeats(runs: DataFrame, width: int) -> DataFrame:
                 yield batch_of(_ROWS, k1[r], k2[r], [(at[i:j] - first[q]).astype(np.int32).tobytes() for i, j, q in zip(s, e, r, strict=True)])
 
     n = partitions(runs.sparkSession)
-    merged = arrow(runs.repartition(n, "bucket"), merge, "chunk long, n int, a binary, b binary, c binary")
+    merged = arrow(runs.repartition(n, "bucket"), merge, "chunk long, n int, a binary, b binary, c binary, d binary")
     return arrow(merged.repartition(n, "chunk"), by_row, "k1 long, k2 long, at binary").dropDuplicates(["k1", "k2"])
