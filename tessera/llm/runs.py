@@ -26,14 +26,16 @@ BUCKETS = 4
 RUN_SCHEMA = "bucket int, chunk long, n int, a binary, b binary, c binary, d binary"
 _RUN = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 _FLAGGED = pa.schema([("chunk", pa.int64()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
-_ROWS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.binary())])
+_ROWS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.binary()), ("old", pa.bool_())])
+#: A batch's runs are numbered from its own number times this.
+BATCH = 1 << 40
 
 
 class RunWriter:
     """Collects fingerprints with the word positions they stand at, and the rows they come from."""
 
-    def __init__(self, buckets: int, width: int):
-        self.buckets, self.width, self.seq = buckets, width, 0
+    def __init__(self, buckets: int, width: int, base: int = 0):
+        self.buckets, self.width, self.base, self.seq = buckets, width, base, 0
         self._clear()
 
     def _clear(self) -> None:
@@ -54,7 +56,8 @@ class RunWriter:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.rows:
-            chunk = (TaskContext.get().partitionId() << 32) | self.seq
+            task, seq = TaskContext.get().partitionId(), self.seq
+            chunk = self.base | task << 16 | seq
             self.seq += 1
             k1, k2, first = (np.concatenate(x) for x in zip(*self.rows, strict=True))
             keys, at = np.concatenate(self.keys), np.concatenate(self.at)
@@ -69,7 +72,7 @@ class RunWriter:
             known = at[local]
             keys, at = np.ascontiguousarray(keys[~again]), at[~again]
             # the rows of the run travel with it, so that it is computed once
-            yield batch_of(_RUN, [chunk % self.buckets], [chunk], [-1], [k1.tobytes()], [k2.tobytes()], [first.tobytes()], [known.tobytes()])
+            yield batch_of(_RUN, [(task + seq) % self.buckets], [chunk], [-1], [k1.tobytes()], [k2.tobytes()], [first.tobytes()], [known.tobytes()])
             which = bucket_of(keys[:, 0], self.buckets)
             cut = np.concatenate([[0], np.flatnonzero(np.diff(which)) + 1, [len(which)]]) if len(which) else np.zeros(1, int)
             s, e = cut[:-1], cut[1:]
@@ -84,8 +87,39 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
-def repeats(runs: DataFrame, width: int) -> DataFrame:
-    """(k1, k2, at): for each row with a fingerprint that stands anywhere else too, the little-endian int32 word positions of such ones.
+def compacted(runs: DataFrame, width: int) -> DataFrame:
+    """The same runs with each bucket's blocks merged into one sorted sequence; blocks then name the run of each entry in c."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+        for b in batches:
+            for bucket, chunk, n, x, y, z, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if n < 0:
+                    yield batch_of(_RUN, [bucket], [chunk], [n], [x], [y], [z], [known])
+                else:
+                    held[bucket].append((np.frombuffer(x, np.uint64).reshape(-1, width), np.frombuffer(y, np.uint32), _chunks(chunk, n, z)))
+        while held:
+            bucket, blocks = held.popitem()
+            keys, at, chunk = (np.concatenate(x) for x in zip(*blocks, strict=True))
+            order = np.argsort(keys[:, 0], kind="stable")
+            keys, at, chunk = keys[order], at[order], chunk[order]
+            for lo in range(0, len(keys), RUN_ROWS):
+                k = slice(lo, lo + RUN_ROWS)
+                yield batch_of(_RUN, [bucket], [-1], [len(at[k])], [keys[k].tobytes()], [at[k].tobytes()], [chunk[k].tobytes()], [None])
+
+    return arrow(runs.repartition(partitions(runs.sparkSession), "bucket"), merge, RUN_SCHEMA)
+
+
+def _chunks(chunk: int, n: int, named: bytes | None) -> np.ndarray:
+    return np.full(n, chunk, np.int64) if named is None else np.frombuffer(named, np.int64)
+
+
+def repeats(runs: DataFrame, width: int, since: int = 0) -> DataFrame:
+    """(k1, k2, at, old): for each row with a fingerprint that stands anywhere else too, the little-endian int32 word positions of such ones.
+
+    Runs numbered below since are old: what repeats among them alone is no
+    matter, so their rows come only with what a new run has too (and with
+    what repeats inside an old run that a new one meets).
 
     A partition's blocks are held together, as sorted arrays of 8 * width + 4
     bytes an entry; the number of shuffle partitions sets how much that is. A
@@ -94,40 +128,48 @@ def repeats(runs: DataFrame, width: int) -> DataFrame:
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, bytes, bytes]]] = defaultdict(list)
+        held: dict[int, list[tuple[np.ndarray, bytes, bytes]]] = defaultdict(list)
         for b in batches:
             for bucket, chunk, n, x, y, z, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if n < 0:
                     yield batch_of(_FLAGGED, [chunk], [-1], [x], [y], [z], [known])
                 else:
-                    held[bucket].append((chunk, x, y))
+                    held[bucket].append((_chunks(chunk, n, z), x, y))
         while held:
             _, blocks = held.popitem()
             keys = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, width) for _, x, _ in blocks])
             at = np.concatenate([np.frombuffer(y, np.uint32) for _, _, y in blocks])
-            run = np.repeat(np.arange(len(blocks)), [len(y) // 4 for _, _, y in blocks])
+            run = np.concatenate([c for c, _, _ in blocks])
             order = np.argsort(keys[:, 0], kind="stable") if width == 1 else np.lexsort(keys.T[::-1])
             same = (keys[order[1:]] == keys[order[:-1]]).all(1)
             flag = np.zeros(len(order), bool)
             flag[1:] |= same
             flag[:-1] |= same
-            hit = np.sort(order[flag])  # in the order of the runs
+            if since:
+                group = np.concatenate([[0], np.cumsum(~same)]) if len(order) else np.zeros(0, np.int64)
+                flag &= np.bincount(group, run[order] >= since)[group] > 0
+            hit = order[flag]
+            hit = hit[np.argsort(run[hit], kind="stable")]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(run[hit])) + 1, [len(hit)]]) if len(hit) else np.zeros(1, int)
-            out = [(blocks[run[hit[i]]][0], at[hit[i:j]].tobytes(), int(j - i)) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            out = [(int(run[hit[i]]), at[hit[i:j]].tobytes(), int(j - i)) for i, j in zip(cut[:-1], cut[1:], strict=True)]
             if out:
                 yield batch_of(_FLAGGED, [x[0] for x in out], [x[2] for x in out], [x[1] for x in out], [None] * len(out), [None] * len(out), [None] * len(out))
 
     def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[int, tuple[bytes, bytes, bytes]] = {}
         hits: dict[int, list[bytes]] = defaultdict(list)
+        inside: dict[int, bytes] = {}
         for b in batches:
             for chunk, n, x, y, z, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if n < 0:
                     rows[chunk] = (x, y, z)
                     if known:
-                        hits[chunk].append(known)
+                        inside[chunk] = known
                 else:
                     hits[chunk].append(x)
+        for chunk, known in inside.items():
+            if chunk >= since or chunk in hits:
+                hits[chunk].append(known)
         while hits:
             chunk, parts = hits.popitem()
             k1, k2, first = (np.frombuffer(x, np.int64) for x in rows[chunk])
@@ -137,8 +179,8 @@ def repeats(runs: DataFrame, width: int) -> DataFrame:
             for lo in range(0, len(cut) - 1, 4096):
                 s, e = cut[:-1][lo : lo + 4096], cut[1:][lo : lo + 4096]
                 r = row[s]
-                yield batch_of(_ROWS, k1[r], k2[r], [(at[i:j] - first[q]).astype(np.int32).tobytes() for i, j, q in zip(s, e, r, strict=True)])
+                yield batch_of(_ROWS, k1[r], k2[r], [(at[i:j] - first[q]).astype(np.int32).tobytes() for i, j, q in zip(s, e, r, strict=True)], [chunk < since] * len(r))
 
     n = partitions(runs.sparkSession)
     merged = arrow(runs.repartition(n, "bucket"), merge, "chunk long, n int, a binary, b binary, c binary, d binary")
-    return arrow(merged.repartition(n, "chunk"), by_row, "k1 long, k2 long, at binary").dropDuplicates(["k1", "k2"])
+    return arrow(merged.repartition(n, "chunk"), by_row, "k1 long, k2 long, at binary, old boolean").dropDuplicates(["k1", "k2", "old"])

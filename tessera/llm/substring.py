@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, Rolling, arrow, batch_of, cut, mix, partitions, slices, utf8, word_spans
-from .runs import BUCKETS, RUN_SCHEMA, RunWriter, repeats
+from .runs import BATCH, BUCKETS, RUN_SCHEMA, RunWriter, repeats
+from .runstore import RunStore
 
 #: Words of the short fingerprints of which each window selects its smallest.
 GRAM = 8
@@ -57,7 +58,7 @@ def _anchors(grams: np.ndarray, low: np.ndarray, whole: np.ndarray, window: int)
     return np.flatnonzero(_slide(padded, span, np.maximum)[: len(grams)] == grams)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, keep_text: bool = True, store: RunStore | None = None) -> DataFrame:
     """(id_col, n_words, n_removed, kept_sha256[, kept]) for every row of docs.
 
     A word goes if a window of so many words covers it whose words also start
@@ -71,13 +72,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null, empty and short texts have nothing to remove; a null has no words.
     Rows with equal id and text get equal results. No rows give no rows. Other
     columns of docs are not read.
+
+    With a store, docs are its next batch: their runs are merged with the runs
+    of all batches before, windows that stand there are repeats too, and the
+    batch joins the store. What was told of earlier batches stays as it was.
     """
     spark = docs.sparkSession
-    buckets = BUCKETS * partitions(spark)
+    past = store.state(window) if store else None
+    buckets = past.buckets if past else BUCKETS * partitions(spark)
+    base = past.batches * BATCH if past else 0
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).withColumns({"k1": F.xxhash64("i"), "k2": F.xxhash64("t")})
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = RunWriter(buckets, 1)
+        out = RunWriter(buckets, 1, base)
         for batch in batches:
             for part in slices(batch, "t"):
                 _, _, _, first, words = _words(part)
@@ -131,10 +138,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["i", "n_words", "n_removed", "kept_sha256", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    first = repeats(arrow(rows.select("t", "k1", "k2"), index, RUN_SCHEMA), 1)
+    runs = arrow(rows.select("t", "k1", "k2"), index, RUN_SCHEMA)
+    if past:
+        # fewer bytes than this hold no window
+        added = store.write(runs, rows.where(F.octet_length("t") >= 2 * window - 1).select("k1", "k2", "t"))
+        runs = store.runs(past.runs + added.runs)
+    first = repeats(runs, 1, base)
+    earlier = cut(first) if base else first
+    first = earlier.where("not old").drop("old")
     sorted_out = cut(arrow(rows.join(first, ["k1", "k2"], "left").select("i", "t", "k1", "k2", "at"), sort_out, f"i {kind}, t string, k1 long, k2 long, at binary, n_words long, sha string"))
     open_ = sorted_out.where("at is not null")
-    second = repeats(arrow(open_.select("t", "k1", "k2", "at"), verify, RUN_SCHEMA), 2)
+    doubtful = open_.select("t", "k1", "k2", "at")
+    if base:
+        doubtful = doubtful.unionByName(store.texts(past.texts).join(earlier.where("old"), ["k1", "k2"]).select("t", "k1", "k2", "at"))
+    second = repeats(arrow(doubtful, verify, RUN_SCHEMA), 2).drop("old")
+    if past:
+        second = cut(second)
+        store.commit(past, added)
     done = arrow(open_.drop("at").join(second, ["k1", "k2"], "left").select("i", "t", "at"), finish, f"i {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
     clean = sorted_out.where("at is null").select("i", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.array_join(F.filter(F.split(F.coalesce("t", F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""), " ").alias("kept") if keep_text else F.lit(None).cast("string").alias("kept"))
     result = clean.unionByName(done).withColumnRenamed("i", id_col)
