@@ -21,11 +21,12 @@ DIM = 32
 #: Preceding words that predict the next, each place with weights of its own.
 ORDER = 2
 NOISE = 8
-#: Every so many positions of each training text give an example to the neural model.
-STRIDE = 8
 #: Examples a task trains on in one round: its own, repeated if they are fewer.
 LEAST_EXAMPLES = 120_000
 BATCH = 512
+#: Steps of the table by which noise words are found.
+GUIDE = 1 << 16
+#: Each position of a training text is an example of the neural model in one of the rounds.
 ROUNDS = 2
 #: Words whose counts go to every task, at most so many of at most so many bytes; the counts of all others are joined.
 KNOWN, LONGEST = 200_000, 64
@@ -165,15 +166,15 @@ def train_nce(w: Weights, examples: np.ndarray, noise: np.ndarray, rate: float =
     rounds = max(1, min(12, LEAST_EXAMPLES // len(examples)))
     cumulative, logk = np.cumsum(noise), np.log(NOISE * noise).astype(np.float32)
     cumulative /= cumulative[-1]
+    guide = np.searchsorted(cumulative, np.arange(GUIDE) / GUIDE)
     sq = {k: np.full(getattr(w, k).shape[:1], 0.1, np.float32) for k in "rqb"}
 
     def step(name: str, rows: np.ndarray, grad: np.ndarray) -> None:
         x = getattr(w, name)
-        u, at = np.unique(rows, return_inverse=True)
-        g = np.zeros((len(u), *grad.shape[1:]), np.float32)
-        order = np.argsort(at, kind="stable")
-        edge = np.searchsorted(at[order], np.arange(len(u)))
-        g[:] = np.add.reduceat(grad[order], edge, axis=0)
+        order = np.argsort(rows.astype(np.int16), kind="stable")  # sorted by digits; outputs are few
+        at = rows[order]
+        edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        u, g = at[edge], np.add.reduceat(grad[order], edge, axis=0)
         size = (g * g).reshape(len(u), -1).mean(axis=1)
         sq[name][u] += size
         scale = rate / np.sqrt(sq[name][u])
@@ -185,7 +186,11 @@ def train_nce(w: Weights, examples: np.ndarray, noise: np.ndarray, rate: float =
             ctx, target = examples[order[lo : lo + BATCH], :ORDER], examples[order[lo : lo + BATCH], ORDER]
             n = len(target)
             hidden = sum(w.r[ctx[:, k]] * w.c[ORDER - 1 - k] for k in range(ORDER))
-            false = np.minimum(np.searchsorted(cumulative, rng.random(n * NOISE)), len(noise) - 1).reshape(n, NOISE)
+            drawn = rng.random(n * NOISE)
+            false = guide[(drawn * GUIDE).astype(np.int64)]  # near the place in cumulative, and then at it
+            while len(low := np.flatnonzero(cumulative[false] < drawn)):
+                false[low] += 1
+            false = false.reshape(n, NOISE)
             both = np.concatenate([target[:, None], false], 1)
             vec = w.q[both]
             s = np.einsum("nd,nkd->nk", hidden, vec) + w.b[both] - logk[both]
@@ -213,7 +218,7 @@ def _places(raw: bytes, numbers: Numbers) -> np.ndarray:
 
 
 def fit(rows: DataFrame, vocab: Vocabulary) -> Weights:
-    """Train on rows(t), every task on positions of all its texts, and average the tasks' weights, in ROUNDS rounds.
+    """Train on rows(t), every task on all its texts, each position in one of the rounds, and average the tasks' weights, in ROUNDS rounds.
 
     A round's averages are summed pairwise on the executors, so the driver
     gets a bounded number of models, whatever the number of tasks.
@@ -234,7 +239,7 @@ def fit(rows: DataFrame, vocab: Vocabulary) -> Weights:
                     for raw in _texts(part):
                         ids = out[_places(raw, numbers)]
                         full = np.concatenate([np.zeros(ORDER, np.int64), ids])
-                        at = np.arange((seen + turn * STRIDE // ROUNDS) % STRIDE, len(ids), STRIDE)
+                        at = np.arange((seen + turn) % ROUNDS, len(ids), ROUNDS)
                         seen += 1
                         held.append(np.stack([full[at + k] for k in range(ORDER + 1)], 1))
                         size += len(at)
