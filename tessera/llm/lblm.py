@@ -21,8 +21,8 @@ DIM = 32
 #: Preceding words that predict the next, each place with weights of its own.
 ORDER = 2
 NOISE = 8
-#: Examples a task trains on in one round: its own, repeated if they are fewer.
-LEAST_EXAMPLES = 120_000
+#: Examples that a task holds before it trains on them; each counts once.
+HELD_EXAMPLES = 240_000
 BATCH = 512
 #: Steps of the table by which noise words are found.
 GUIDE = 1 << 16
@@ -163,7 +163,6 @@ def train_nce(w: Weights, examples: np.ndarray, noise: np.ndarray, rate: float =
     if not len(examples):
         return w
     rng = np.random.default_rng(seed)
-    rounds = max(1, min(12, LEAST_EXAMPLES // len(examples)))
     cumulative, logk = np.cumsum(noise), np.log(NOISE * noise).astype(np.float32)
     cumulative /= cumulative[-1]
     guide = np.searchsorted(cumulative, np.arange(GUIDE) / GUIDE)
@@ -180,26 +179,25 @@ def train_nce(w: Weights, examples: np.ndarray, noise: np.ndarray, rate: float =
         scale = rate / np.sqrt(sq[name][u])
         x[u] += g * (scale[:, None] if g.ndim == 2 else scale)
 
-    for _ in range(rounds):
-        order = rng.permutation(len(examples))
-        for lo in range(0, len(order), BATCH):
-            ctx, target = examples[order[lo : lo + BATCH], :ORDER], examples[order[lo : lo + BATCH], ORDER]
-            n = len(target)
-            hidden = sum(w.r[ctx[:, k]] * w.c[ORDER - 1 - k] for k in range(ORDER))
-            drawn = rng.random(n * NOISE)
-            false = guide[(drawn * GUIDE).astype(np.int64)]  # near the place in cumulative, and then at it
-            while len(low := np.flatnonzero(cumulative[false] < drawn)):
-                false[low] += 1
-            false = false.reshape(n, NOISE)
-            both = np.concatenate([target[:, None], false], 1)
-            vec = w.q[both]
-            s = np.einsum("nd,nkd->nk", hidden, vec) + w.b[both] - logk[both]
-            g = -1 / (1 + np.exp(-s))
-            g[:, 0] += 1  # what the objective gains by a higher score
-            back = np.einsum("nk,nkd->nd", g, vec)
-            step("q", both.ravel(), (g[:, :, None] * hidden[:, None, :]).reshape(-1, DIM))
-            step("b", both.ravel(), g.ravel())
-            step("r", ctx.ravel(), np.stack([back * w.c[ORDER - 1 - k] for k in range(ORDER)], 1).reshape(-1, DIM))
+    order = rng.permutation(len(examples))
+    for lo in range(0, len(order), BATCH):
+        ctx, target = examples[order[lo : lo + BATCH], :ORDER], examples[order[lo : lo + BATCH], ORDER]
+        n = len(target)
+        hidden = sum(w.r[ctx[:, k]] * w.c[ORDER - 1 - k] for k in range(ORDER))
+        drawn = rng.random(n * NOISE)
+        false = guide[(drawn * GUIDE).astype(np.int64)]  # near the place in cumulative, and then at it
+        while len(low := np.flatnonzero(cumulative[false] < drawn)):
+            false[low] += 1
+        false = false.reshape(n, NOISE)
+        both = np.concatenate([target[:, None], false], 1)
+        vec = w.q[both]
+        s = np.einsum("nd,nkd->nk", hidden, vec) + w.b[both] - logk[both]
+        g = -1 / (1 + np.exp(-s))
+        g[:, 0] += 1  # what the objective gains by a higher score
+        back = np.einsum("nk,nkd->nd", g, vec)
+        step("q", both.ravel(), (g[:, :, None] * hidden[:, None, :]).reshape(-1, DIM))
+        step("b", both.ravel(), g.ravel())
+        step("r", ctx.ravel(), np.stack([back * w.c[ORDER - 1 - k] for k in range(ORDER)], 1).reshape(-1, DIM))
     return w
 
 
@@ -218,7 +216,7 @@ def _places(raw: bytes, numbers: Numbers) -> np.ndarray:
 
 
 def fit(rows: DataFrame, vocab: Vocabulary) -> Weights:
-    """Train on rows(t), every task on all its texts, each position in one of the rounds, and average the tasks' weights, in ROUNDS rounds.
+    """Train on rows(t), every task on all its texts, each position in one of ROUNDS rounds, and average the tasks' weights by their examples.
 
     A round's averages are summed pairwise on the executors, so the driver
     gets a bounded number of models, whatever the number of tasks.
@@ -232,7 +230,7 @@ def fit(rows: DataFrame, vocab: Vocabulary) -> Weights:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, out, start, noise = shared.value
             numbers = Numbers(words)
-            w, seen, held, size = start, 0, [], 0
+            w, seen, held, size, done = start, 0, [], 0, 0
             seed = TaskContext.get().partitionId()
             for batch in batches:
                 for part in slices(batch, "t"):
@@ -243,13 +241,13 @@ def fit(rows: DataFrame, vocab: Vocabulary) -> Weights:
                         seen += 1
                         held.append(np.stack([full[at + k] for k in range(ORDER + 1)], 1))
                         size += len(at)
-                    if size > 2 * LEAST_EXAMPLES:
+                    if size > HELD_EXAMPLES:
                         w = train_nce(w, np.concatenate(held), noise, seed=seed)
-                        held, size = [], 0
+                        held, size, done = [], 0, done + size
             if size:
                 w = train_nce(w, np.concatenate(held), noise, seed=seed)
-            if seen:
-                yield batch_of(_COUNTS, [pack_weights(w)], [1])
+            if done + size:
+                yield batch_of(_COUNTS, [pack_weights(w)], [done + size])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, n = None, 0

@@ -17,3 +17,8 @@ def test_every_position_trains(spark):
     # each word is a context of the one after it, so it moves only if that position is an example
     moved = _moved(spark, ["a b", " ".join(f"w{k}" for k in range(20))])
     assert len(moved) == 23 and all(moved.values())
+
+
+def test_tasks_weigh_by_examples(spark):
+    moved = _moved(spark, ["x y"], ["a b c d"] * 500)
+    assert 0 < moved["x"] < 0.05 * moved["a"]
