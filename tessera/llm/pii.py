@@ -87,7 +87,8 @@ _DASHED = re.compile(r"(?<![0-9A-Za-z.])\(?[0-9]{2,4}\)?(?:[ ./-]{1,2}[0-9]{2,4}
 _SOLID = re.compile(r"(?<![0-9A-Za-z])[0-9]{9,19}(?![0-9A-Za-z])")
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 _IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\s?[0-9A-Z]{4}){2,7}(?:\s?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
-_TRIGGER = re.compile(r"[0-9@]|[(\[{]\s?at\s?[)\]}]|\sdot\s", re.I)
+#: Whatever a rule or a generator matches holds one of these: a digit, an at sign, a colon, or the word "at" between spaces or brackets.
+_TRIGGER = re.compile(r"[0-9@:]|[\s(\[{]at[\s)\]}]", re.I)
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
@@ -312,30 +313,25 @@ def find(docs: DataFrame, model: Trees | None = None, id_col: str = "doc_id", te
     kind_ = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model or train())  # ROUNDS small trees
     nothing = hashlib.sha256(b"").hexdigest()
-    trigger = np.zeros(256, bool)
-    trigger[[*range(48, 58), 64, 40, 91, 123]] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
                 data, off = utf8(part.column("t"))
-                hot = np.concatenate([[0], np.cumsum(trigger[data])])
-                hot = (hot[off[1:]] > hot[off[:-1]]).tolist()
                 raw = data.tobytes()
                 texts = part.column("t")
                 n, sha, spans, red = [[], [], [], []], [], [], []
                 for k, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-                    base, more = [], []
-                    if hot[k] or b" dot " in raw[a:b].lower():
-                        text = raw[a:b].decode()
+                    base, more, text = [], [], raw[a:b].decode()
+                    if _TRIGGER.search(text):
                         base = base_spans(text)
-                        more = added_spans(text, base, shared.value) if _TRIGGER.search(text) else []
+                        more = added_spans(text, base, shared.value)
                     for i, kind in enumerate(KINDS):
                         n[i].append(sum(x[0] == kind for x in base))
                     sha.append(hashlib.sha256(joined(base).encode()).hexdigest() if base else nothing)
                     spans.append(joined(base + more))
                     if with_redacted:
-                        red.append(redact(raw[a:b].decode(), base + more) if texts[k].is_valid else None)
+                        red.append(redact(text, base + more) if texts[k].is_valid else None)
                 columns = [part.column("i"), *(pa.array(x, pa.int64()) for x in n), pa.array(sha, pa.string()), pa.array(spans, pa.string())]
                 names = ["i", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(red, pa.string())] if with_redacted else []), names=names + (["redacted"] if with_redacted else []))
