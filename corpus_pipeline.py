@@ -40,9 +40,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest id. Rows without an id go."""
-    groups = simhash.near_duplicates(docs)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each SimHash group stays: the one with the smallest id, null ids last.
+
+    Rows are told apart by a number of their own, so repeated rows are a group
+    and equal ids with different texts are not. Of equal ids the smallest hash
+    of the text decides, then that of the other columns, then the number.
+    """
+    rows = cut(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("text_hash"), F.xxhash64("lang", "source", "n_chars").alias("other_hash"), "row")
+    groups = simhash.near_duplicates(rows, id_col="row").join(rows.select("row", key.alias("key")), "row")
+    kept = groups.groupBy("component_id").agg(F.min("key").alias("key")).select("key.row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
