@@ -190,11 +190,75 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def sample_by_class(rows: DataFrame, label: str, key: str, each: int, parts: int = 1 << 20) -> DataFrame:
     """About `each` rows of each class, or all it has: a fixed choice by hash of the key, so it needs no sort.
 
-    Only the number of rows of each class is counted; the classes are few.
+    Only the number of rows of each class is counted, and joined to the rows;
+    how that join is done is Spark's choice by the size of the counts.
     """
     counts = rows.groupBy(label).agg(F.count("*").alias("class_rows"))
     share = F.least(F.lit(1.0), F.lit(float(each)) / F.col("class_rows"))
-    return rows.join(F.broadcast(counts.limit(10_000)), label).where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(parts)) < share * parts).drop("class_rows")
+    return rows.join(counts, label).where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(parts)) < share * parts).drop("class_rows")
+
+
+#: Bits of a filter for each key, and its most bits in all (64 MB); a fuller filter lets more rows pass, and loses none.
+BITS_EACH, MOST_BITS = 16, 1 << 29
+_FILTER_PARTS = 64
+_BITS = pa.schema([("part", pa.int32()), ("bits", pa.binary())])
+
+
+class KeyFilter:
+    """A bit for each hash of a set of 64-bit keys: says that a key surely isn't in the set, or may be."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        spot = mix(keys.view(np.uint64)) % np.uint64(len(self.bits) * 8)
+        return (self.bits[(spot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (spot & np.uint64(7)).astype(np.uint8))) & 1 == 1
+
+
+def key_filter(keys: DataFrame) -> KeyFilter:
+    """The filter of the only column, of longs, of keys. Its size follows the number of keys up to MOST_BITS."""
+    spark = keys.sparkSession
+    size = 1 << 16
+    most = keys.count() * BITS_EACH
+    while size < min(most, MOST_BITS):
+        size *= 2
+    part = size // _FILTER_PARTS
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
+        for b in batches:
+            bits[(mix(b.column(0).to_numpy().view(np.uint64)) % np.uint64(size)).astype(np.int64)] = True
+        for k, p in enumerate(bits.reshape(_FILTER_PARTS, -1)):
+            at = np.flatnonzero(p)
+            if len(at):
+                packed = np.packbits(p)
+                yield batch_of(_BITS, [k], [packed.tobytes()] if len(at) * 4 >= len(packed) else [at.astype(np.uint32).tobytes()])
+
+    def join_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                p = parts.setdefault(k, np.zeros(part, bool))
+                if len(raw) == part // 8:
+                    p |= np.unpackbits(np.frombuffer(raw, np.uint8)).astype(bool)
+                else:
+                    p[np.frombuffer(raw, np.uint32)] = True
+        for k, p in parts.items():
+            yield batch_of(_BITS, [k], [np.packbits(p).tobytes()])
+
+    n = min(partitions(spark), 32)
+    marks = arrow(keys.repartition(n), mark, "part int, bits binary").repartition(n, "part")
+    bits = np.zeros((_FILTER_PARTS, part // 8), np.uint8)
+    for r in arrow(marks, join_marks, "part int, bits binary").collect():
+        bits[r.part] = np.frombuffer(r.bits, np.uint8)
+    return KeyFilter(bits.ravel())
+
+
+def bucket_count(df: DataFrame, each: int = 16 << 20) -> int:
+    """Buckets for what is made of df, so that one of them holds what about `each` bytes of df make, whatever df's size."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 55 else 0  # what Spark can't tell it takes for endless
+    return max(4 * partitions(df.sparkSession), -(-known // each))
 
 
 def carried(docs: DataFrame, carry: list[str]) -> tuple[list[Column], list[str], str]:
