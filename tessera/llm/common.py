@@ -130,6 +130,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values of x in order, by a sort."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class Rolling:
     """Sums of values weighted by the powers of an odd base, modulo 2**64.
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, arrow, batch_of, bucket_count, carried, cut, key_filter, mix, partitions, slices, uncarried, utf8
+from .common import SPACE, arrow, batch_of, bucket_count, carried, cut, distinct, key_filter, mix, partitions, slices, uncarried, utf8
 from .graph import components
 from .runs import bucket_of
 
@@ -97,10 +97,10 @@ class Lines:
             code = np.where(chars[wide] >= 0xE0, code + 37 * after[wide + 2], code)
             code = np.where(chars[wide] >= 0xF0, code + 101 * after[wide + 3], code)
             heads = (chars & 0xC0) != 0x80
-            place = np.concatenate([[0], np.cumsum(heads)])
+            rest = np.flatnonzero(~heads)
             chars = chars.copy()
             chars[wide] = code
-            chars, starts, ends = chars[heads], place[starts], place[ends]
+            chars, starts, ends = chars[heads], starts - np.searchsorted(rest, starts), ends - np.searchsorted(rest, ends)
         packed = pack_shingles(chars)
         size = ends - starts
         short = np.flatnonzero(size < SHINGLE)
@@ -170,7 +170,7 @@ class Sets:
                 new = np.ones(len(order), bool)
                 new[1:] = (part[order][1:] != part[order][:-1]) | (kinds[order][1:] != kinds[order][:-1])
                 kinds[order] = np.cumsum(new) - 1
-        own = np.unique((line << 32) | kinds)
+        own = distinct((line << 32) | kinds)
         self.kinds = own & 0xFFFFFFFF
         self.first = np.searchsorted(own, np.arange(len(texts) + 1) << 32)
         self.size = np.diff(self.first)
