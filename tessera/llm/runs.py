@@ -3,12 +3,15 @@
 A map task turns its part of the corpus into sorted immutable runs; each run
 is cut by fingerprint range into buckets, and a bucket's blocks from all runs
 meet in one task, which merges them with numpy. So the shuffle carries a few
-large rows and not a row for each fingerprint.
+large rows and not a row for each fingerprint. Tasks get their blocks in the
+order of the buckets and hold one bucket at a time.
+
+The merge is a stable sort of the blocks one after the other: numpy's is
+Timsort, which finds the sorted stretches and merges them.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,13 +19,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import arrow, batch_of, partitions
+from .common import arrow, batch_of, distinct, partitions
 
 #: Fingerprints that a run holds before it is written.
 RUN_ROWS = 1 << 20
-#: Buckets for each shuffle partition.
-BUCKETS = 4
-
 RUN_SCHEMA = "bucket int, chunk long, n int, a binary, b binary, c binary, d binary"
 _RUN = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 _FLAGGED = pa.schema([("chunk", pa.int64()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
@@ -71,8 +71,8 @@ class RunWriter:
             local[:-1] |= again[1:]
             known = at[local]
             keys, at = np.ascontiguousarray(keys[~again]), at[~again]
-            # the rows of the run travel with it, so that it is computed once
-            yield batch_of(_RUN, [(task + seq) % self.buckets], [chunk], [-1], [k1.tobytes()], [k2.tobytes()], [first.tobytes()], [known.tobytes()])
+            # the rows of the run are kept with it, so that it is computed once
+            yield batch_of(_RUN, [-1], [chunk], [-1], [k1.tobytes()], [k2.tobytes()], [first.tobytes()], [known.tobytes()])
             which = bucket_of(keys[:, 0], self.buckets)
             cut = np.concatenate([[0], np.flatnonzero(np.diff(which)) + 1, [len(which)]]) if len(which) else np.zeros(1, int)
             s, e = cut[:-1], cut[1:]
@@ -87,31 +87,56 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
-def compacted(runs: DataFrame, width: int) -> DataFrame:
-    """The same runs with each bucket's blocks merged into one sorted sequence; blocks then name the run of each entry in c."""
+def _merged(blocks: list[tuple[bytes, bytes, np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of (keys, places, runs) as one sequence in which equal keys are neighbours."""
+    keys = np.concatenate([np.frombuffer(x, np.uint64) for x, _, _ in blocks]).reshape(-1, width)
+    at = np.concatenate([np.frombuffer(y, np.uint32) for _, y, _ in blocks])
+    run = np.concatenate([c for _, _, c in blocks])
+    order = np.argsort(keys[:, 0], kind="stable")
+    keys = keys[order]
+    if width > 1 and len(keys) and ((keys[1:, 0] == keys[:-1, 0]) & (keys[1:] != keys[:-1]).any(1)).any():
+        again = np.lexsort(keys.T[::-1])  # keys that differ in a later part alone
+        order, keys = order[again], keys[again]
+    return keys, at[order], run[order]
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[bytes, bytes, np.ndarray]]]]:
+    """The blocks of each bucket; rows come in the order of the buckets."""
+    now, held = None, []
+    for b in batches:
+        for bucket, chunk, n, x, y, z in zip(*(b.column(c).to_pylist() for c in ("bucket", "chunk", "n", "a", "b", "c")), strict=True):
+            if held and bucket != now:
+                yield now, held
+                held = []
+            now = bucket
+            held.append((x, y, np.full(n, chunk, np.int64) if z is None else np.frombuffer(z, np.int64)))
+    if held:
+        yield now, held
+
+
+def compacted(runs: DataFrame, width: int, buckets: int) -> DataFrame:
+    """The same runs with each bucket's blocks merged into one sorted sequence, now in so many buckets; blocks then name the run of each entry in c."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, n, x, y, z in zip(*(b.column(c).to_pylist() for c in ("chunk", "n", "a", "b", "c")), strict=True):
+                keys, at = np.frombuffer(x, np.uint64).reshape(-1, width), np.frombuffer(y, np.uint32)
+                run = None if z is None else np.frombuffer(z, np.int64)
+                which = bucket_of(keys[:, 0], buckets)
+                cut = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), n]
+                for i, j in zip(cut[:-1], cut[1:], strict=True):
+                    yield batch_of(_RUN, [int(which[i])], [chunk], [j - i], [keys[i:j].tobytes()], [at[i:j].tobytes()], [None if run is None else run[i:j].tobytes()], [None])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
-        for b in batches:
-            for bucket, chunk, n, x, y, z, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if n < 0:
-                    yield batch_of(_RUN, [bucket], [chunk], [n], [x], [y], [z], [known])
-                else:
-                    held[bucket].append((np.frombuffer(x, np.uint64).reshape(-1, width), np.frombuffer(y, np.uint32), _chunks(chunk, n, z)))
-        while held:
-            bucket, blocks = held.popitem()
-            keys, at, chunk = (np.concatenate(x) for x in zip(*blocks, strict=True))
-            order = np.argsort(keys[:, 0], kind="stable")
-            keys, at, chunk = keys[order], at[order], chunk[order]
+        for bucket, blocks in _by_bucket(batches):
+            keys, at, chunk = _merged(blocks, width)
             for lo in range(0, len(keys), RUN_ROWS):
                 k = slice(lo, lo + RUN_ROWS)
                 yield batch_of(_RUN, [bucket], [-1], [len(at[k])], [keys[k].tobytes()], [at[k].tobytes()], [chunk[k].tobytes()], [None])
 
-    return arrow(runs.repartition(partitions(runs.sparkSession), "bucket"), merge, RUN_SCHEMA)
-
-
-def _chunks(chunk: int, n: int, named: bytes | None) -> np.ndarray:
-    return np.full(n, chunk, np.int64) if named is None else np.frombuffer(named, np.int64)
+    n = partitions(runs.sparkSession)
+    entries = arrow(runs.where("n >= 0"), split, RUN_SCHEMA).repartition(n, "bucket").sortWithinPartitions("bucket")
+    return arrow(entries, merge, RUN_SCHEMA).unionByName(runs.where("n < 0"))
 
 
 def repeats(runs: DataFrame, width: int, since: int = 0) -> DataFrame:
@@ -121,34 +146,24 @@ def repeats(runs: DataFrame, width: int, since: int = 0) -> DataFrame:
     matter, so their rows come only with what a new run has too (and with
     what repeats inside an old run that a new one meets).
 
-    A partition's blocks are held together, as sorted arrays of 8 * width + 4
-    bytes an entry; the number of shuffle partitions sets how much that is. A
-    fingerprint has at most one entry for each run, however often it stands
-    in the corpus.
+    runs is read twice, so it should be a stored table: the entries go to the
+    merge, and the rows of a run, which its first block holds, straight to
+    where its hits come together. A bucket's blocks are held together, as
+    sorted arrays of 8 * width + 4 bytes an entry. A fingerprint has at most
+    one entry for each run, however often it stands in the corpus.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, bytes, bytes]]] = defaultdict(list)
-        for b in batches:
-            for bucket, chunk, n, x, y, z, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if n < 0:
-                    yield batch_of(_FLAGGED, [chunk], [-1], [x], [y], [z], [known])
-                else:
-                    held[bucket].append((_chunks(chunk, n, z), x, y))
-        while held:
-            _, blocks = held.popitem()
-            keys = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, width) for _, x, _ in blocks])
-            at = np.concatenate([np.frombuffer(y, np.uint32) for _, _, y in blocks])
-            run = np.concatenate([c for c, _, _ in blocks])
-            order = np.argsort(keys[:, 0], kind="stable") if width == 1 else np.lexsort(keys.T[::-1])
-            same = (keys[order[1:]] == keys[order[:-1]]).all(1)
-            flag = np.zeros(len(order), bool)
+        for _, blocks in _by_bucket(batches):
+            keys, at, run = _merged(blocks, width)
+            same = (keys[1:] == keys[:-1]).all(1)
+            flag = np.zeros(len(keys), bool)
             flag[1:] |= same
             flag[:-1] |= same
             if since:
-                group = np.concatenate([[0], np.cumsum(~same)]) if len(order) else np.zeros(0, np.int64)
-                flag &= np.bincount(group, run[order] >= since)[group] > 0
-            hit = order[flag]
+                group = np.concatenate([[0], np.cumsum(~same)]) if len(keys) else np.zeros(0, np.int64)
+                flag &= np.bincount(group, run >= since)[group] > 0
+            hit = np.flatnonzero(flag)
             hit = hit[np.argsort(run[hit], kind="stable")]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(run[hit])) + 1, [len(hit)]]) if len(hit) else np.zeros(1, int)
             out = [(int(run[hit[i]]), at[hit[i:j]].tobytes(), int(j - i)) for i, j in zip(cut[:-1], cut[1:], strict=True)]
@@ -156,31 +171,38 @@ def repeats(runs: DataFrame, width: int, since: int = 0) -> DataFrame:
                 yield batch_of(_FLAGGED, [x[0] for x in out], [x[2] for x in out], [x[1] for x in out], [None] * len(out), [None] * len(out), [None] * len(out))
 
     def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, tuple[bytes, bytes, bytes]] = {}
-        hits: dict[int, list[bytes]] = defaultdict(list)
-        inside: dict[int, bytes] = {}
-        for b in batches:
-            for chunk, n, x, y, z, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if n < 0:
-                    rows[chunk] = (x, y, z)
-                    if known:
-                        inside[chunk] = known
-                else:
-                    hits[chunk].append(x)
-        for chunk, known in inside.items():
-            if chunk >= since or chunk in hits:
-                hits[chunk].append(known)
-        while hits:
-            chunk, parts = hits.popitem()
-            k1, k2, first = (np.frombuffer(x, np.int64) for x in rows[chunk])
-            at = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in parts])).astype(np.int64)
+        now, rows, hits = None, None, []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            x, y, z, known = rows
+            parts = [np.frombuffer(h, np.uint32) for h in hits]
+            if known and (now >= since or hits):
+                parts.append(np.frombuffer(known, np.uint32))
+            if not parts:
+                return
+            k1, k2, first = (np.frombuffer(v, np.int64) for v in (x, y, z))
+            at = distinct(np.concatenate(parts)).astype(np.int64)
             row = np.searchsorted(first, at, "right") - 1
             cut = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1, [len(row)]])
             for lo in range(0, len(cut) - 1, 4096):
                 s, e = cut[:-1][lo : lo + 4096], cut[1:][lo : lo + 4096]
                 r = row[s]
-                yield batch_of(_ROWS, k1[r], k2[r], [(at[i:j] - first[q]).astype(np.int32).tobytes() for i, j, q in zip(s, e, r, strict=True)], [chunk < since] * len(r))
+                yield batch_of(_ROWS, k1[r], k2[r], [(at[i:j] - first[q]).astype(np.int32).tobytes() for i, j, q in zip(s, e, r, strict=True)], [now < since] * len(r))
+
+        for b in batches:
+            for chunk, n, x, y, z, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if n < 0:  # a run's rows come before its hits
+                    if rows is not None:
+                        yield from told()
+                    now, rows, hits = chunk, (x, y, z, known), []
+                else:
+                    hits.append(x)
+        if rows is not None:
+            yield from told()
 
     n = partitions(runs.sparkSession)
-    merged = arrow(runs.repartition(n, "bucket"), merge, "chunk long, n int, a binary, b binary, c binary, d binary")
-    return arrow(merged.repartition(n, "chunk"), by_row, "k1 long, k2 long, at binary, old boolean").dropDuplicates(["k1", "k2", "old"])
+    entries = runs.where("n >= 0").select("bucket", "chunk", "n", "a", "b", "c").repartition(n, "bucket").sortWithinPartitions("bucket")
+    merged = arrow(entries, merge, "chunk long, n int, a binary, b binary, c binary, d binary")
+    headers = runs.where("n < 0").select("chunk", "n", "a", "b", "c", "d")
+    together = headers.unionByName(merged).repartition(n, "chunk").sortWithinPartitions("chunk", "n")
+    return arrow(together, by_row, "k1 long, k2 long, at binary, old boolean").dropDuplicates(["k1", "k2", "old"])

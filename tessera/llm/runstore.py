@@ -12,9 +12,12 @@ from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..errors import CommitConflict
+from ..sources.commits import publish, read
 from .common import partitions
-from .runs import BUCKETS, RUN_SCHEMA, compacted
+from .runs import RUN_SCHEMA, compacted
+
+#: Bytes of runs that a bucket may hold after a compaction; fuller stores get twice the buckets.
+BUCKET_BYTES = 32 << 20
 
 _TEXTS = "k1 long, k2 long, t string"
 
@@ -48,16 +51,12 @@ class RunStore:
         names = [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
         if not (done := sorted(n for n in names if n.endswith(".json") and not n.startswith("."))):
             return None
-        f = self.fs.open(self._path("commits", done[-1]))
-        try:
-            j = json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(f, "UTF-8"))
-        finally:
-            f.close()
+        j = json.loads(read(self.spark, f"{self.path}/commits/{done[-1]}"))
         return Parts(**j | {"runs": tuple(j["runs"]), "texts": tuple(j["texts"])})
 
-    def state(self, window: int) -> Parts:
-        """The last commit, or an empty one for windows of so many words."""
-        found = self.latest() or Parts(0, window, BUCKETS * partitions(self.spark), 0)
+    def state(self, window: int, buckets: int) -> Parts:
+        """The last commit, or an empty one for windows of so many words in so many buckets."""
+        found = self.latest() or Parts(0, window, buckets, 0)
         if found.window != window:
             raise ValueError(f"the store's windows have {found.window} words, not {window}")
         return found
@@ -81,28 +80,21 @@ class RunStore:
     def commit(self, past: Parts, added: Parts, instead: bool = False) -> None:
         """Make past with what was added, or what was added instead of past's parts, the next version; raise CommitConflict if there is one."""
         new = replace(past, version=past.version + 1, batches=past.batches + added.batches, runs=added.runs if instead else past.runs + added.runs, texts=added.texts if instead else past.texts + added.texts)
-        name = f"{new.version:012d}"
-        whole = self._path("commits", f".{uuid.uuid4().hex}")
-        self.fs.mkdirs(self._path("commits"))
-        out = self.fs.create(whole, True)
-        try:
-            out.write(bytearray(json.dumps(asdict(new)).encode()))
-        finally:
-            out.close()
-        try:
-            claim = self.fs.create(self._path("commits", f"{name}.claim"), False)
-        except Exception as e:
-            self.fs.delete(whole, False)
-            raise CommitConflict(f"version {new.version} is there already") from e
-        claim.close()
-        self.fs.rename(whole, self._path("commits", f"{name}.json"))
+        publish(self.spark, f"{self.path}/commits", f"{new.version:012d}.json", json.dumps(asdict(new)).encode())
 
     def compact(self) -> None:
-        """Merge the runs of all batches bucket by bucket, and their texts, into one part each; the parts before go."""
+        """Merge the runs of all batches bucket by bucket, and their texts, into one part each; the parts before go.
+
+        Buckets are ranges, so a store that has outgrown them gets finer ones here.
+        """
         past = self.latest()
         if past is None or len(past.runs) < 2:
             return
+        size, buckets = sum(self.fs.getContentSummary(self._path(x)).getLength() for x in past.runs), past.buckets
+        while size > buckets * BUCKET_BYTES:
+            buckets *= 2
         texts = self.texts(past.texts).repartition(partitions(self.spark), "k1", "k2").dropDuplicates(["k1", "k2"])
-        self.commit(past, replace(self.write(compacted(self.runs(past.runs), 1), texts), batches=0), instead=True)
+        added = replace(self.write(compacted(self.runs(past.runs), 1, buckets), texts), batches=0)
+        self.commit(replace(past, buckets=buckets), added, instead=True)
         for x in past.runs + past.texts:
             self.fs.delete(self._path(x), True)

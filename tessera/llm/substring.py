@@ -7,19 +7,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Rolling, arrow, batch_of, cut, mix, partitions, slices, utf8, word_spans
-from .runs import BATCH, BUCKETS, RUN_SCHEMA, RunWriter, repeats
+from .common import SPACE, Rolling, arrow, bucket_count, cut, key_filter, slices, utf8, word_spans
+from .runs import BATCH, RUN_SCHEMA, RunWriter, repeats
 from .runstore import RunStore
 
 #: Words of the short fingerprints of which each window selects its smallest.
 GRAM = 8
 
-_WORD, _GRAM, _WINDOW, _CHECK = Rolling(11), Rolling(12), Rolling(13), Rolling(14)
+_WORD, _GRAM = Rolling(11), Rolling(12)
 _TOP = np.uint64(2**64 - 1)
-_DONE = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+#: Seed of the 128-bit hash of a window's bytes.
+_SEED = 0x5EED
 
 
 def _slide(x: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
@@ -67,7 +69,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeat. It is done in two rounds. First each window selects the smallest
     64-bit fingerprint of its 8-word pieces: equal windows select equal ones,
     so a window all of whose selection stands nowhere else repeats nowhere.
-    The windows left are verified by 128-bit fingerprints of all their words.
+    The windows left are verified by 128-bit hashes of all their bytes.
 
     Null, empty and short texts have nothing to remove; a null has no words.
     Rows with equal id and text get equal results. No rows give no rows. Other
@@ -77,9 +79,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of all batches before, windows that stand there are repeats too, and the
     batch joins the store. What was told of earlier batches stays as it was.
     """
-    spark = docs.sparkSession
-    past = store.state(window) if store else None
-    buckets = past.buckets if past else BUCKETS * partitions(spark)
+    buckets = bucket_count(docs)
+    past = store.state(window, buckets) if store else None
+    buckets = past.buckets if past else buckets
     base = past.batches * BATCH if past else 0
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).withColumns({"k1": F.xxhash64("i"), "k2": F.xxhash64("t")})
 
@@ -93,71 +95,86 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield from out.add(grams[at].reshape(-1, 1), at, part.column("k1").to_numpy(), part.column("k2").to_numpy(), first)
         yield from out.flush()
 
-    def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "t"):
-                data, starts, ends, first, _ = _words(part)
-                open_ = part.column("at").is_valid()
-                sha = [None if o else hashlib.sha256(b" ".join(x.split())).hexdigest() for o, x in zip(open_.to_pylist(), _raw(part), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("t") if keep_text else part.column("t").take(pa.array(np.arange(len(sha)), mask=~open_.to_numpy(zero_copy_only=False))), part.column("k1"), part.column("k2"), part.column("at"), pa.array(np.diff(first)), pa.array(sha, pa.string())], names=["i", "t", "k1", "k2", "at", "n_words", "sha"])
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = RunWriter(buckets, 2)
+        out, digest = RunWriter(buckets, 2), xxhash.xxh3_128_digest
         for batch in batches:
             for part in slices(batch, "t"):
-                _, _, _, first, words = _words(part)
+                _, starts, ends, first, words = _words(part)
                 grams, low, whole = _grams(words, first, window)
                 if not len(grams):
                     continue
                 found = np.full(len(grams), _TOP)
-                for base, at in zip(first.tolist(), part.column("at").to_pylist(), strict=False):
-                    p = np.frombuffer(at, np.int32) + base
+                for from_, at in zip(first.tolist(), part.column("at").to_pylist(), strict=False):
+                    p = np.frombuffer(at, np.int32) + from_
                     found[p] = grams[p]
                 at = np.flatnonzero(whole & (_slide(found, window - min(GRAM, window) + 1, np.minimum) == low))
-                keys = np.stack([_WINDOW.spans(words, at, at + window), _CHECK.spans(mix(words + np.uint64(1)), at, at + window)], 1)
+                keys, sizes = [], ends - starts + 1
+                cut_at = np.searchsorted(at, first)
+                for raw, w, v, lo, hi in zip(_raw(part), first[:-1].tolist(), first[1:].tolist(), cut_at[:-1].tolist(), cut_at[1:].tolist(), strict=True):
+                    if lo == hi:
+                        continue
+                    line, place = b" ".join(raw.split()), np.concatenate([[0], np.cumsum(sizes[w:v])])
+                    s = at[lo:hi] - w
+                    keys += [digest(line[a:b], _SEED) for a, b in zip(place[s].tolist(), (place[s + window] - 1).tolist(), strict=True)]
+                keys = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
                 yield from out.add(keys, at, part.column("k1").to_numpy(), part.column("k2").to_numpy(), first)
         yield from out.flush()
 
+    def kept_of(raw: bytes, at: bytes | None) -> tuple[int, int, bytes]:
+        """A text's words, how many of them go, and the others."""
+        words = raw.split()
+        if at is None:
+            return len(words), 0, b" ".join(words)
+        cover, p = np.zeros(len(words) + 1, np.int64), np.frombuffer(at, np.int32)
+        np.add.at(cover, p, 1)
+        np.add.at(cover, p + window, -1)
+        hit = np.cumsum(cover[:-1]) > 0
+        return len(words), int(hit.sum()), b" ".join([w for w, h in zip(words, hit.tolist(), strict=True) if not h])
+
+    def told(part: pa.RecordBatch, raw: list[bytes], at: list[bytes | None]) -> list[pa.Array]:
+        done = [kept_of(x, p) for x, p in zip(raw, at, strict=True)]
+        kept = [x.decode() for _, _, x in done] if keep_text else [None] * len(done)
+        return [part.column("i"), pa.array([n for n, _, _ in done], pa.int64()), pa.array([g for _, g, _ in done], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for _, _, x in done], pa.string()), pa.array(kept, pa.string())]
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                may = wanted.value.may_hold(part.column("k2").to_numpy())
+                hit = np.flatnonzero(may)
+                raw = _raw(part)
+                out = told(part, [b"" if m else x for m, x in zip(may.tolist(), raw, strict=True)], [None] * len(raw))
+                t = part.column("t").take(pa.array(np.arange(len(raw)), mask=~may))
+                yield pa.RecordBatch.from_arrays([*out, t, part.column("k1"), part.column("k2"), pa.array(may)], names=[*names, "t", "k1", "k2", "may"])
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
-                n, gone, sha, kept = [], [], [], []
-                for raw, at in zip(_raw(part), part.column("at").to_pylist(), strict=True):
-                    words = raw.split()
-                    cover = np.zeros(len(words) + 1, np.int64)
-                    if at is not None:
-                        p = np.frombuffer(at, np.int32)
-                        np.add.at(cover, p, 1)
-                        np.add.at(cover, p + window, -1)
-                    hit = np.cumsum(cover[:-1]) > 0
-                    left = b" ".join([w for w, h in zip(words, hit.tolist(), strict=True) if not h]) if at is not None else b" ".join(words)
-                    n.append(len(words))
-                    gone.append(int(hit.sum()))
-                    sha.append(hashlib.sha256(left).hexdigest())
-                    kept.append(left.decode() if keep_text else None)
-                yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["i", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
+                yield pa.RecordBatch.from_arrays(told(part, _raw(part), part.column("at").to_pylist()), names=names)
+
+    kind, names = docs.schema[id_col].dataType.simpleString(), ["i", "n_words", "n_removed", "kept_sha256", "kept"]
+    out = f"i {kind}, n_words long, n_removed long, kept_sha256 string, kept string"
     runs = arrow(rows.select("t", "k1", "k2"), index, RUN_SCHEMA)
     if past:
         # fewer bytes than this hold no window
         added = store.write(runs, rows.where(F.octet_length("t") >= 2 * window - 1).select("k1", "k2", "t"))
         runs = store.runs(past.runs + added.runs)
-    first = repeats(runs, 1, base)
-    earlier = cut(first) if base else first
-    first = earlier.where("not old").drop("old")
-    sorted_out = cut(arrow(rows.join(first, ["k1", "k2"], "left").select("i", "t", "k1", "k2", "at"), sort_out, f"i {kind}, t string, k1 long, k2 long, at binary, n_words long, sha string"))
-    open_ = sorted_out.where("at is not null")
-    doubtful = open_.select("t", "k1", "k2", "at")
+    else:
+        runs = cut(runs)
+    suspects = cut(repeats(runs, 1, base))
+    first = suspects.where("not old").drop("old")
+    wanted = docs.sparkSession.sparkContext.broadcast(key_filter(first.select("k2")))
+    # texts that share nothing are done where they are read; only the others move
+    screened = cut(arrow(rows, screen, f"{out}, t string, k1 long, k2 long, may boolean"))
+    open_ = cut(screened.where("may").select("i", "t", "k1", "k2").join(first, ["k1", "k2"], "left"))
+    doubtful = open_.where("at is not null").select("t", "k1", "k2", "at")
     if base:
-        doubtful = doubtful.unionByName(store.texts(past.texts).join(earlier.where("old"), ["k1", "k2"]).select("t", "k1", "k2", "at"))
-    second = repeats(arrow(doubtful, verify, RUN_SCHEMA), 2).drop("old")
+        doubtful = doubtful.unionByName(store.texts(past.texts).join(suspects.where("old"), ["k1", "k2"]).select("t", "k1", "k2", "at"))
+    second = repeats(cut(arrow(doubtful, verify, RUN_SCHEMA)), 2).drop("old")
     if past:
         second = cut(second)
         store.commit(past, added)
-    done = arrow(open_.drop("at").join(second, ["k1", "k2"], "left").select("i", "t", "at"), finish, f"i {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
-    clean = sorted_out.where("at is null").select("i", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.array_join(F.filter(F.split(F.coalesce("t", F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""), " ").alias("kept") if keep_text else F.lit(None).cast("string").alias("kept"))
-    result = clean.unionByName(done).withColumnRenamed("i", id_col)
+    done = arrow(open_.drop("at").join(second, ["k1", "k2"], "left").select("i", "t", "at"), finish, out)
+    result = screened.where("not may").select(*names).unionByName(done).withColumnRenamed("i", id_col)
     return result if keep_text else result.drop("kept")
 
 
