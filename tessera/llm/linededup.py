@@ -218,6 +218,8 @@ def connect(sets: Sets, groups: list[tuple[np.ndarray, np.ndarray | None]], simi
         going = []
         for w in work:
             left, right, queue, _ = w
+            if not len(left) and (right is None or not len(right)):
+                continue
             if not queue:
                 if not len(left) or (right is not None and not len(right)):
                     continue
