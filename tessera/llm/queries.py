@@ -6,13 +6,11 @@ interfaces. SQL is given where DuckDB can express a query.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.checkpoint import checkpoint_root
 from . import fmindex, langid, lblm, linededup, packing, pii, quality, rpforest, simhash, substring
 from .runstore import RunStore
 from .sql import SQL
@@ -70,8 +68,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = RunStore(spark, f"{checkpoint_root(spark)}/runs-{uuid.uuid4().hex}")  # the whole table is its first batch
-    store.fs.deleteOnExit(store._path())
+    store = RunStore.scratch(spark)  # the whole table is its first batch
     return substring.remove_repeats(_table(spark, sf_dir, "documents"), keep_text=False, store=store)
 
 

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import arrow, batch_of, distinct, partitions
 
@@ -100,10 +101,13 @@ def _merged(blocks: list[tuple[bytes, bytes, np.ndarray]], width: int) -> tuple[
     return keys, at[order], run[order]
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[bytes, bytes, np.ndarray]]]]:
-    """The blocks of each bucket; rows come in the order of the buckets."""
+def _by_bucket(batches: Iterator[pa.RecordBatch], headers: list[pa.RecordBatch] | None = None) -> Iterator[tuple[int, list[tuple[bytes, bytes, np.ndarray]]]]:
+    """The blocks of each bucket; rows come in the order of the buckets, after the first blocks of runs, which are put aside."""
     now, held = None, []
     for b in batches:
+        if headers is not None and (n := int(np.searchsorted(b.column("bucket").to_numpy(), 0))):
+            headers.append(b.slice(0, n).select(_FLAGGED.names))
+            b = b.slice(n)
         for bucket, chunk, n, x, y, z in zip(*(b.column(c).to_pylist() for c in ("bucket", "chunk", "n", "a", "b", "c")), strict=True):
             if held and bucket != now:
                 yield now, held
@@ -146,15 +150,17 @@ def repeats(runs: DataFrame, width: int, since: int = 0) -> DataFrame:
     matter, so their rows come only with what a new run has too (and with
     what repeats inside an old run that a new one meets).
 
-    runs is read twice, so it should be a stored table: the entries go to the
-    merge, and the rows of a run, which its first block holds, straight to
-    where its hits come together. A bucket's blocks are held together, as
-    sorted arrays of 8 * width + 4 bytes an entry. A fingerprint has at most
-    one entry for each run, however often it stands in the corpus.
+    A bucket's blocks are held together, as sorted arrays of 8 * width + 4
+    bytes an entry. A fingerprint has at most one entry for each run, however
+    often it stands in the corpus. The first block of a run holds its rows; it
+    goes to any of the tasks, by the number of the run.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blocks in _by_bucket(batches):
+        headers: list[pa.RecordBatch] = []
+        for _, blocks in _by_bucket(batches, headers):
+            yield from headers
+            headers.clear()
             keys, at, run = _merged(blocks, width)
             same = (keys[1:] == keys[:-1]).all(1)
             flag = np.zeros(len(keys), bool)
@@ -169,6 +175,7 @@ def repeats(runs: DataFrame, width: int, since: int = 0) -> DataFrame:
             out = [(int(run[hit[i]]), at[hit[i:j]].tobytes(), int(j - i)) for i, j in zip(cut[:-1], cut[1:], strict=True)]
             if out:
                 yield batch_of(_FLAGGED, [x[0] for x in out], [x[2] for x in out], [x[1] for x in out], [None] * len(out), [None] * len(out), [None] * len(out))
+        yield from headers
 
     def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, hits = None, None, []
@@ -201,8 +208,6 @@ def repeats(runs: DataFrame, width: int, since: int = 0) -> DataFrame:
             yield from told()
 
     n = partitions(runs.sparkSession)
-    entries = runs.where("n >= 0").select("bucket", "chunk", "n", "a", "b", "c").repartition(n, "bucket").sortWithinPartitions("bucket")
-    merged = arrow(entries, merge, "chunk long, n int, a binary, b binary, c binary, d binary")
-    headers = runs.where("n < 0").select("chunk", "n", "a", "b", "c", "d")
-    together = headers.unionByName(merged).repartition(n, "chunk").sortWithinPartitions("chunk", "n")
-    return arrow(together, by_row, "k1 long, k2 long, at binary, old boolean").dropDuplicates(["k1", "k2", "old"])
+    dealt = runs.repartition(n, F.when(F.col("n") < 0, F.col("chunk")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
+    merged = arrow(dealt, merge, "chunk long, n int, a binary, b binary, c binary, d binary")
+    return arrow(merged.repartition(n, "chunk").sortWithinPartitions("chunk", "n"), by_row, "k1 long, k2 long, at binary, old boolean").dropDuplicates(["k1", "k2", "old"])

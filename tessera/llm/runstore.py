@@ -12,6 +12,7 @@ from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.checkpoint import checkpoint_root
 from ..sources.commits import publish, read
 from .common import partitions
 from .runs import RUN_SCHEMA, compacted
@@ -19,7 +20,7 @@ from .runs import RUN_SCHEMA, compacted
 #: Bytes of runs that a bucket may hold after a compaction; fuller stores get twice the buckets.
 BUCKET_BYTES = 32 << 20
 
-_TEXTS = "k1 long, k2 long, t string"
+TEXTS = "k1 long, k2 long, t string"
 
 
 @dataclass(frozen=True)
@@ -42,6 +43,13 @@ class RunStore:
         self.jvm = spark.sparkContext._jvm
         self.fs = self._path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    @staticmethod
+    def scratch(spark: SparkSession) -> RunStore:
+        """A store of its own in the checkpoint folder, which goes when the application ends."""
+        store = RunStore(spark, f"{checkpoint_root(spark)}/runs-{uuid.uuid4().hex}")
+        store.fs.deleteOnExit(store._path())
+        return store
+
     def _path(self, *parts: str):
         return self.jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
 
@@ -65,7 +73,7 @@ class RunStore:
         return self._read(RUN_SCHEMA, parts)
 
     def texts(self, parts: tuple[str, ...]) -> DataFrame:
-        return self._read(_TEXTS, parts)
+        return self._read(TEXTS, parts)
 
     def _read(self, ddl: str, parts: tuple[str, ...]) -> DataFrame:
         return self.spark.read.schema(ddl).parquet(*(f"{self.path}/{x}" for x in parts))

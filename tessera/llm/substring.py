@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, Rolling, arrow, bucket_count, cut, key_filter, slices, utf8, word_spans
 from .runs import BATCH, RUN_SCHEMA, RunWriter, repeats
-from .runstore import RunStore
+from .runstore import TEXTS, RunStore
 
 #: Words of the short fingerprints of which each window selects its smallest.
 GRAM = 8
@@ -75,14 +75,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows with equal id and text get equal results. No rows give no rows. Other
     columns of docs are not read.
 
-    With a store, docs are its next batch: their runs are merged with the runs
+    docs are the next batch of the store: their runs are merged with the runs
     of all batches before, windows that stand there are repeats too, and the
     batch joins the store. What was told of earlier batches stays as it was.
+    Without a store they are the only batch of a new one, which goes when the
+    application ends.
     """
-    buckets = bucket_count(docs)
-    past = store.state(window, buckets) if store else None
-    buckets = past.buckets if past else buckets
-    base = past.batches * BATCH if past else 0
+    store = store or RunStore.scratch(docs.sparkSession)
+    past = store.state(window, bucket_count(docs))
+    buckets, base = past.buckets, past.batches * BATCH
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).withColumns({"k1": F.xxhash64("i"), "k2": F.xxhash64("t")})
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,50 +132,42 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hit = np.cumsum(cover[:-1]) > 0
         return len(words), int(hit.sum()), b" ".join([w for w, h in zip(words, hit.tolist(), strict=True) if not h])
 
-    def told(part: pa.RecordBatch, raw: list[bytes], at: list[bytes | None]) -> list[pa.Array]:
+    def results(raw: list[bytes], at: list[bytes | None]) -> list[pa.Array]:
         done = [kept_of(x, p) for x, p in zip(raw, at, strict=True)]
         kept = [x.decode() for _, _, x in done] if keep_text else [None] * len(done)
-        return [part.column("i"), pa.array([n for n, _, _ in done], pa.int64()), pa.array([g for _, g, _ in done], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for _, _, x in done], pa.string()), pa.array(kept, pa.string())]
+        return [pa.array([n for n, _, _ in done], pa.int64()), pa.array([g for _, g, _ in done], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for _, _, x in done], pa.string()), pa.array(kept, pa.string())]
 
-    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
-                may = wanted.value.may_hold(part.column("k2").to_numpy())
-                hit = np.flatnonzero(may)
-                raw = _raw(part)
-                out = told(part, [b"" if m else x for m, x in zip(may.tolist(), raw, strict=True)], [None] * len(raw))
-                t = part.column("t").take(pa.array(np.arange(len(raw)), mask=~may))
-                yield pa.RecordBatch.from_arrays([*out, t, part.column("k1"), part.column("k2"), pa.array(may)], names=[*names, "t", "k1", "k2", "may"])
+                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("k1"), part.column("k2"), *results(_raw(part), [None] * part.num_rows)], names=["i", "k1", "k2", *names])
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.value.may_hold(batch.column("k2").to_numpy())))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
-                yield pa.RecordBatch.from_arrays(told(part, _raw(part), part.column("at").to_pylist()), names=names)
-
-    kind, names = docs.schema[id_col].dataType.simpleString(), ["i", "n_words", "n_removed", "kept_sha256", "kept"]
-    out = f"i {kind}, n_words long, n_removed long, kept_sha256 string, kept string"
-    runs = arrow(rows.select("t", "k1", "k2"), index, RUN_SCHEMA)
-    if past:
-        # fewer bytes than this hold no window
-        added = store.write(runs, rows.where(F.octet_length("t") >= 2 * window - 1).select("k1", "k2", "t"))
-        runs = store.runs(past.runs + added.runs)
-    else:
-        runs = cut(runs)
-    suspects = cut(repeats(runs, 1, base))
+                yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), *results(_raw(part), part.column("at").to_pylist())], names=["k1", "k2", *names])
+
+    kind, names = docs.schema[id_col].dataType.simpleString(), ["n_words", "n_removed", "kept_sha256", "kept"]
+    out = "k1 long, k2 long, n_words long, n_removed long, kept_sha256 string, kept string"
+    # fewer bytes than this hold no window
+    added = store.write(arrow(rows.select("t", "k1", "k2"), index, RUN_SCHEMA), rows.where(F.octet_length("t") >= 2 * window - 1).select("k1", "k2", "t"))
+    suspects = cut(repeats(store.runs(past.runs + added.runs), 1, base))
     first = suspects.where("not old").drop("old")
+    # only texts that may share something move
     wanted = docs.sparkSession.sparkContext.broadcast(key_filter(first.select("k2")))
-    # texts that share nothing are done where they are read; only the others move
-    screened = cut(arrow(rows, screen, f"{out}, t string, k1 long, k2 long, may boolean"))
-    open_ = cut(screened.where("may").select("i", "t", "k1", "k2").join(first, ["k1", "k2"], "left"))
-    doubtful = open_.where("at is not null").select("t", "k1", "k2", "at")
+    open_ = cut(arrow(store.texts(added.texts), sift, TEXTS).join(first, ["k1", "k2"]).dropDuplicates(["k1", "k2"]))
+    doubtful = open_.select("t", "k1", "k2", "at")
     if base:
         doubtful = doubtful.unionByName(store.texts(past.texts).join(suspects.where("old"), ["k1", "k2"]).select("t", "k1", "k2", "at"))
-    second = repeats(cut(arrow(doubtful, verify, RUN_SCHEMA)), 2).drop("old")
-    if past:
-        second = cut(second)
-        store.commit(past, added)
-    done = arrow(open_.drop("at").join(second, ["k1", "k2"], "left").select("i", "t", "at"), finish, out)
-    result = screened.where("not may").select(*names).unionByName(done).withColumnRenamed("i", id_col)
+    second = cut(repeats(arrow(doubtful, verify, RUN_SCHEMA), 2).drop("old"))
+    store.commit(past, added)
+    done = arrow(open_.drop("at").join(second, ["k1", "k2"]).select("k1", "k2", "t", "at"), finish, out).withColumnsRenamed({c: f"__{c}" for c in names})
+    result = arrow(rows, plain, f"i {kind}, {out}").join(done, ["k1", "k2"], "left")
+    result = result.select(F.col("i").alias(id_col), *(F.coalesce(f"__{c}", c).alias(c) for c in names))
     return result if keep_text else result.drop("kept")
 
 
