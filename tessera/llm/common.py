@@ -117,6 +117,19 @@ def word_spans(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[n
     return starts, ends, np.searchsorted(starts, off)
 
 
+def split_words(column: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """The words between white space of all texts, one after the other, and the number of each text's first (one more at the end); null counts as empty."""
+    column = pc.fill_null(column, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
+    flat, first = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
+    first = first - first[0]
+    full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at an end parts an empty word off
+    if not full.all():
+        first = np.concatenate([[0], np.cumsum(full)])[first]
+        flat = flat.filter(pa.array(full))
+    return flat, first
+
+
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
