@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Rolling, arrow, cut, slices, utf8, word_spans
+from .common import arrow, cut, slices, split_words, utf8
 
 #: Tokens of a sequence.
 CAPACITY = 4096
@@ -20,54 +21,95 @@ CAPACITY = 4096
 END = 1
 #: Words whose ids a worker remembers.
 CACHE = 700_000
-#: Parts words that are encoded together; as an added token it has an id that no text gets.
+#: Parts words that are encoded together; as an added token it has an id that no word gets.
 _PART = "<|startoftext|>"
+#: What a tokenizer does with a text before its pieces are looked up, if its ids can be had word by word. Fixed values, as the vocabulary file has them.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 _PIECES = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int64()), ("nth", pa.int64())])
-_tokenizers: dict[int, tuple] = {}
-_WORD = Rolling(41)
+_tokenizers: dict[int, Encoder] = {}
 _UPPER = np.array([65 <= c <= 90 for c in range(256)])
 _ALNUM = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 for c in range(256)])
 _PUNCT = np.array([33 <= c <= 126 and not chr(c).isalnum() and c != 39 for c in range(256)])
 
 
-def _tokenizer(text: str) -> tuple:
-    """The tokenizer twice, with the strings of special tokens as ordinary text and as tokens, and the ids of words so far."""
-    key = hash(text)
-    if key not in _tokenizers:
+def by_words(definition: dict) -> bool:
+    """Whether a text's ids are those of its words, one after the other: white space is dropped and no piece reaches over it."""
+    split = (definition.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+    marks = {t["content"] for t in definition.get("added_tokens", []) if not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])}
+    return definition.get("normalizer") == _NORMALIZER and split.get("pattern") == {"Regex": _SPLIT} and split.get("behavior") == "Removed" and split.get("invert") is True and _PART in marks
+
+
+class Encoder:
+    """A tokenizer, and the ids of words so far."""
+
+    def __init__(self, text: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        plain, parted = Tokenizer.from_str(text), Tokenizer.from_str(text)
-        plain.encode_special_tokens = True
-        _tokenizers[key] = (plain, parted, parted.token_to_id(_PART), {})
+        definition = json.loads(text)
+        self.tokenizer = Tokenizer.from_str(text)
+        self.marks = [t["content"].encode() for t in definition.get("added_tokens", [])]
+        self.by_words = by_words(definition)
+        self.part = self.tokenizer.token_to_id(_PART)
+        self.known: dict[bytes, bytes] = {}
+
+    def whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of whole texts, with the strings of added tokens as such."""
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encode words that are new."""
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            joined = [_PART.join([w.decode() for w in some[k : k + 200]]) for k in range(0, len(some), 200)]
+            ids = np.array([i for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for i in (*e.ids, self.part)], "<u4")
+            ends = np.flatnonzero(ids == self.part)
+            raw, first = ids.tobytes(), np.concatenate([[0], ends[:-1] + 1])
+            self.known.update(zip(some, [raw[4 * a : 4 * b] for a, b in zip(first.tolist(), ends.tolist(), strict=True)], strict=True))
+
+
+def _encoder(text: str) -> Encoder:
+    key = hash(text)
+    if key not in _tokenizers:
+        _tokenizers[key] = Encoder(text)
     return _tokenizers[key]
 
 
-def _learn(words: list[bytes], tokenizer: tuple) -> None:
-    """Encode words that are new."""
-    plain, parted, mark, known = tokenizer
-    odd = [w for w in words if b"<|" in w]
-    words = [w for w in words if b"<|" not in w]
-    for at in range(0, len(words), 20_000):
-        part = words[at : at + 20_000]
-        joined = [_PART.join([w.decode() for w in part[k : k + 200]]) for k in range(0, len(part), 200)]
-        ids = np.array([i for e in parted.encode_batch_fast(joined, add_special_tokens=False) for i in (*e.ids, mark)], "<u4")
-        ends = np.flatnonzero(ids == mark)
-        raw, first = ids.tobytes(), np.concatenate([[0], ends[:-1] + 1])
-        known.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip(first.tolist(), ends.tolist(), strict=True)], strict=True))
-    for w in odd:
-        known[w] = np.array(plain.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-
-def token_ids(data: np.ndarray, off: np.ndarray, tokenizer: tuple) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(data: np.ndarray, off: np.ndarray, encoder: Encoder) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, one after the other, and where each text's begin.
 
-    For a vocabulary that drops white space and whose pieces never reach over
-    it, a text's ids are those of its words, one after the other; so each
-    distinct word is encoded once. To have fewer, a mark after an ASCII letter
-    or digit is a word of its own (no piece holds both, but after an
-    apostrophe), and A-Z are lower-cased where no combining mark can follow.
+    They are what the tokenizer's encode gives for each whole text without
+    special tokens added. Where its ids can be had word by word, each distinct
+    word is encoded once; texts that hold the string of an added token, and
+    all texts under another kind of tokenizer, are encoded whole.
+    """
+    raw, n = data.tobytes(), len(off) - 1
+    if not encoder.by_words:
+        ids = encoder.whole([raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.cumsum([0, *map(len, ids)])
+    odd = set()
+    for mark in encoder.marks:
+        at = raw.find(mark)
+        while at >= 0:
+            odd.add(row := int(np.searchsorted(off, at, "right")) - 1)
+            at = raw.find(mark, max(at + 1, int(off[row + 1]) - len(mark) + 1))
+    flat, begin = _by_words(data, off, encoder)
+    if not odd:
+        return flat, begin
+    parts, done = [flat[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], sorted(odd)
+    for k, ids in zip(done, encoder.whole([raw[off[k] : off[k + 1]] for k in done]), strict=True):
+        parts[k] = ids
+    return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+
+def _by_words(data: np.ndarray, off: np.ndarray, encoder: Encoder) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts from those of their distinct words.
+
+    To have fewer words, a mark after an ASCII letter or digit begins a word
+    (no piece holds both, but after an apostrophe), and A-Z are lower-cased
+    where no combining mark can follow.
     """
     if len(data):
         nxt = np.concatenate([data[1:], [np.uint8(32)]])
@@ -79,18 +121,18 @@ def token_ids(data: np.ndarray, off: np.ndarray, tokenizer: tuple) -> tuple[np.n
         wide[np.arange(len(data)) + shift] = low
         off = off + np.concatenate([[0], shift])[off]
         data = wide
-    starts, ends, first = word_spans(data, off, ~SPACE)
-    if not len(starts):
+    texts = pa.Array.from_buffers(pa.large_utf8(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data)])
+    words, first = split_words(texts, lower=False)
+    found = words.cast(pa.large_binary()).dictionary_encode()
+    which, words = found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist()
+    if not len(which):
         return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-    _, at, which = np.unique(_WORD.words(data, starts, ends), return_index=True, return_inverse=True)
-    raw, known = data.tobytes(), tokenizer[3]
-    words = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-    new = [w for w in words if w not in known]
-    if len(known) + len(new) > CACHE:
-        known.clear()
+    new = [w for w in words if w not in encoder.known]
+    if len(encoder.known) + len(new) > CACHE:
+        encoder.known.clear()
         new = words
-    _learn(new, tokenizer)
-    ids = [known[w] for w in words]
+    encoder.learn(new)
+    ids = [encoder.known[w] for w in words]
     size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     flat, begin = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
     n = size[which]
@@ -105,12 +147,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, cap
         vocabulary = spark.sparkContext.broadcast(f.read())  # one file, whatever the corpus is
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, task = _tokenizer(vocabulary.value), TaskContext.get().partitionId()
+        encoder, task = _encoder(vocabulary.value), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         end = np.array([END], "<u4")
         for batch in batches:
             for part in slices(batch, "t"):
-                flat, begin = token_ids(*utf8(part.column("t")), tokenizer)
+                flat, begin = token_ids(*utf8(part.column("t")), encoder)
                 rows, out = [], []
                 for i, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
                     for k, at in enumerate(range(0, b - a + 1, capacity)):
@@ -222,6 +264,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """(id_col, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each row of docs.
 
     Only the histogram of lengths (at most capacity rows) reaches the driver.
+    The rank of a piece among all of its length comes from the numbers of
+    pieces of each length in each task; they are joined by a shuffle, as
+    their number grows with the tasks.
+
     Null and empty texts are the end id alone. Repeated rows and null ids are
     packed like any other row. Other columns of docs are not read. No rows
     give no rows.
@@ -245,5 +291,5 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("i", "piece", "start", "length", "ids_crc32")), seq, pa.array(row[:, 4] + k % row[:, 2] * length)], names=["i", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    placed = arrow(cutted.join(before, ["length", "task"]).select("i", "piece", "start", "length", "ids_crc32", "before", "nth"), place, f"i {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = arrow(cutted.join(before.hint("merge"), ["length", "task"]).select("i", "piece", "start", "length", "ids_crc32", "before", "nth"), place, f"i {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return placed.withColumnRenamed("i", id_col)
