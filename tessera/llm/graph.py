@@ -27,7 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         moved = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(moved.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        if e.select(F.col("v").alias("u")).distinct().join(e, "u", "left_semi").limit(1).count() == 0 and e.groupBy("u").count().where("count > 1").limit(1).count() == 0:
+        # done if every vertex has one edge up, and none that an edge leads to has any
+        ups = e.select("u", F.lit(1).alias("up")).union(e.select("v", F.lit(0))).groupBy("u").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+        if ups.where("ups > 1 or (ups = 1 and least = 0)").limit(1).count() == 0:
             break
     roots = e.select("v").distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).union(roots.select(F.col("v").alias("id"), F.col("v").alias("root")))

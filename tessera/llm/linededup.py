@@ -101,20 +101,28 @@ class Lines:
             chars = chars.copy()
             chars[wide] = code
             chars, starts, ends = chars[heads], starts - np.searchsorted(rest, starts), ends - np.searchsorted(rest, ends)
-        packed = pack_shingles(chars)
+        h = pack_shingles(chars)
         size = ends - starts
         short = np.flatnonzero(size < SHINGLE)
-        packed[starts[short]] &= (np.uint64(1) << (np.uint64(8) * size[short].astype(np.uint64))) - np.uint64(1)
-        n = np.maximum(size - SHINGLE + 1, 1)
-        line = np.repeat(np.arange(len(n)), n)
-        h = packed[np.arange(len(line)) + np.repeat(starts - (np.cumsum(n) - n), n)]
-        h = h * np.uint64(0x9E3779B97F4A7C15)
+        h[starts[short]] &= (np.uint64(1) << (np.uint64(8) * size[short].astype(np.uint64))) - np.uint64(1)
+        h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xC2B2AE3D27D4EB4F)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0x9E3779B97F4A7C15)
-        low = np.full(len(n) * BINS, _EMPTY)
-        np.minimum.at(low, (line << 6) + (h >> np.uint64(58)).view(np.int64), h & _LOW58)
+        # each character's line, or one more for those at which no chosen line has a shingle
+        n = np.maximum(size - SHINGLE + 1, 1)
+        order = np.argsort(starts)
+        bounds = np.stack([starts[order], (starts + n)[order]], 1).ravel()
+        runs = np.diff(np.concatenate([[0], bounds, [len(h)]]))
+        which = np.full(len(runs), len(n))
+        which[1::2] = order
+        place = np.repeat(which << 6, runs)
+        place += (h >> np.uint64(58)).view(np.int64)
+        h &= _LOW58
+        low = np.full((len(n) + 1) * BINS, _EMPTY)
+        np.minimum.at(low, place, h)
+        low = low[: len(n) * BINS]
         low = low.reshape(-1, BINS)
         for k in range(6):  # distances double, so 63 steps are covered
             other = np.roll(low, -(1 << k), axis=1)
@@ -317,7 +325,8 @@ def near_line_edges(docs: DataFrame, text_col: str = "t", similarity: float = 0.
             total = np.zeros(len(v) + 1, np.uint64)
             np.cumsum(mix(v.view(np.uint64)), out=total[1:])
             gid = mix(total[edge[1:]] - total[edge[:-1]]).view(np.int64)  # groups of the same lines are one group
-            fresh = np.fromiter((s > 1 and g not in told for s, g in zip(size.tolist(), gid.tolist(), strict=True)), bool, len(size))
+            fresh = size > 1
+            fresh[fresh] = [g not in told for g in gid[fresh].tolist()]
             if len(told) > SEEN:
                 told.clear()
             told.update(gid[fresh].tolist())
@@ -472,18 +481,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     same = ["key", "check"]
     lines = cut(arrow(rows.select("i", "t", "k1", "k2"), occur, f"key long, check long, i {kind}, k1 long, k2 long, line int"))
-    place = F.struct(F.col("i").isNull().alias("last"), F.col("i"), F.col("line"), F.col("k2"))
-    firsts = lines.groupBy(*same).agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    counts = lines.groupBy(*same).agg(F.count("*").alias("n"))
     edges = near_line_edges(rows, "t", similarity)
     checks = edges.select(F.col("a").alias("key"), F.col("a_check").alias("check")).union(edges.select("b", "b_check")).distinct()
     roots = checks.join(components(edges.select("a", "b")).withColumnRenamed("id", "key"), "key")
-    known = cut(firsts.join(roots, same, "left").where("n > 1 or root is not null"))
-    # a line without near ones is its own group; no root has a check, so the two kinds of groups don't mix
-    group = [F.coalesce("root", "key").alias("group"), F.when(F.col("root").isNull(), F.col("check")).alias("alone")]
-    keep = known.groupBy(*group).agg(F.min("first").alias("first"))
-    keep = known.select(*same, *group).alias("x").join(keep.alias("y"), (F.col("x.group") == F.col("y.group")) & F.col("x.alone").eqNullSafe(F.col("y.alone"))).select(*(f"x.{c}" for c in same), "y.first")
-    stays = F.col("i").eqNullSafe(F.col("first.i")) & (F.col("line") == F.col("first.line")) & (F.col("k2") == F.col("first.k2"))
-    gone = lines.join(keep, same).where(~stays)
+    known = counts.join(roots, same, "left").where("n > 1 or root is not null")
+    # a line without near ones is a group of its own; no root has a check, so the two kinds of groups don't mix
+    alone = F.when(F.col("root").isNull(), F.col("check")).otherwise(F.lit(0))
+    place = F.struct(F.col("i").isNull().alias("last"), F.col("i"), F.col("line"), F.col("k2"))
+    several = cut(lines.join(known, same).select(F.coalesce("root", "key").alias("group"), alone.alias("alone"), F.col("root").isNull().alias("single"), "k1", "k2", "line", place.alias("place")))
+    group = ["group", "alone", "single"]
+    keep = several.groupBy(*group).agg(F.min("place").alias("first"))
+    gone = several.join(keep, group).where(~F.col("place").eqNullSafe(F.col("first")))
     gone = gone.groupBy("k1", "k2").agg(F.collect_set("line").alias("gone"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
