@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, carried, slices, uncarried, utf8
+from .common import arrow, carried, distinct, mix, slices, split_words, uncarried, utf8
 
 #: Words of a window.
 WINDOW = 10
@@ -21,9 +21,12 @@ SHARD_BYTES = 6 << 20
 #: Every so many positions of a shard the index keeps one.
 SAMPLE = 16
 #: Bytes of benchmark text that one pass sends to the executors; more take more passes.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+#: Symbols that words outside the benchmark share.
+OTHERS = 1 << 12
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_FOLDED = np.frombuffer(_FOLD, np.uint8)
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -33,62 +36,99 @@ def words_of(raw: bytes) -> list[bytes]:
 
 
 class WaveletTree:
-    """Ranks of symbols in a sequence, one bit of the symbols at each level; all queries are vectors."""
+    """Ranks of symbols in a sequence, one bit of the symbols at each level; all queries are vectors.
+
+    A level is a row of bits and, for each 64 of them, the ones before.
+    """
 
     def __init__(self, symbols: np.ndarray, top: int):
         self.bits = max(1, int(top).bit_length())
-        self.ones, self.zeros = [], []
-        s = symbols
+        self.words, self.before, self.zeros = [], [], []
+        s, n = symbols, len(symbols)
         for level in range(self.bits - 1, -1, -1):
-            bit = (s >> level) & 1
-            ones = np.zeros(len(s) + 1, np.int64)
-            np.cumsum(bit, out=ones[1:])
-            self.ones.append(ones)
-            self.zeros.append(len(s) - int(ones[-1]))
-            s = np.concatenate([s[bit == 0], s[bit == 1]])
+            bit = (s >> level) & 1 == 1
+            packed = np.zeros(n // 64 + 1, np.uint64)
+            raw = np.packbits(bit, bitorder="little")
+            packed.view(np.uint8)[: len(raw)] = raw
+            before = np.zeros(len(packed), np.int32)
+            np.cumsum(np.bitwise_count(packed[:-1]), out=before[1:], dtype=np.int32)
+            ones = s[bit]
+            self.words.append(packed)
+            self.before.append(before)
+            self.zeros.append(n - len(ones))
+            s = np.concatenate([s[~bit], ones])
+
+    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
+        """The ones of a level before each place."""
+        word, inside = at >> 6, (at & 63).astype(np.uint64)
+        return self.before[level][word].astype(np.int64) + np.bitwise_count(self.words[level][word] & ((np.uint64(1) << inside) - np.uint64(1)))
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each place."""
         lo = np.zeros_like(at)
-        for level, ones, zeros in zip(range(self.bits - 1, -1, -1), self.ones, self.zeros, strict=True):
-            up = (symbol >> level) & 1 == 1
-            a, b = ones[lo], ones[at]
-            lo, at = np.where(up, zeros + a, lo - a), np.where(up, zeros + b, at - b)
+        for k in range(self.bits):
+            up = (symbol >> (self.bits - 1 - k)) & 1 == 1
+            a, b = self._ones(k, lo), self._ones(k, at)
+            lo, at = np.where(up, self.zeros[k] + a, lo - a), np.where(up, self.zeros[k] + b, at - b)
         return at - lo
 
     def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbol at each place, and its rank there."""
         symbol, lo = np.zeros_like(at), np.zeros_like(at)
-        for ones, zeros in zip(self.ones, self.zeros, strict=True):
-            bit = ones[at + 1] - ones[at]
+        for k in range(self.bits):
+            a, b = self._ones(k, lo), self._ones(k, at)
+            bit = self._ones(k, at + 1) - b
             symbol = symbol * 2 + bit
-            lo = np.where(bit == 1, zeros + ones[lo], lo - ones[lo])
-            at = np.where(bit == 1, zeros + ones[at], at - ones[at])
+            lo, at = np.where(bit == 1, self.zeros[k] + a, lo - a), np.where(bit == 1, self.zeros[k] + b, at - b)
         return symbol, at - lo
 
 
+def suffix_order(sequence: np.ndarray, top: int) -> np.ndarray:
+    """The suffixes of a sequence of 1..top and ends 0 in order; each end is a symbol of its own, in the order of the ends.
+
+    By doubling: suffixes known by their first symbols are told apart by twice
+    as many. Only those that some other still equals are sorted again.
+    """
+    n = len(sequence)
+    apart = np.flatnonzero(sequence == 0)
+    first = sequence.astype(np.int64) + len(apart)
+    first[apart] = np.arange(len(apart))
+    wide, step = top + len(apart) + 2, 1
+    key, known = first + 1, wide
+    while known < (1 << 62) // wide and step < 4:  # as many symbols at once as a number holds; none reaches over the end
+        after = np.zeros(n, np.int64)
+        after[: n - step] = first[step:] + 1
+        key, known, step = key * wide + after, known * wide, step + 1
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    rank = np.empty(n, np.int64)
+    start = np.flatnonzero(new)
+    place = np.repeat(start, np.diff(np.append(start, n)))  # a group's suffixes are known by the first of their places
+    rank[order] = place
+    size = np.diff(np.append(start, n))
+    todo = np.flatnonzero(np.repeat(size > 1, size))  # places whose suffix isn't told apart yet
+    while len(todo):
+        at = order[todo]
+        group, after = rank[at], np.where(at + step < n, rank[np.minimum(at + step, n - 1)] + 1, 0)
+        by = np.argsort(group * (n + 2) + after, kind="stable")
+        at, group, after = at[by], group[by], after[by]
+        order[todo] = at
+        fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (after[1:] != after[:-1])])
+        start = np.flatnonzero(fresh)
+        size = np.diff(np.append(start, len(todo)))
+        rank[at] = np.repeat(todo[start], size)
+        todo = todo[np.repeat(size > 1, size)]
+        step *= 2
+    return order
+
+
 class FMIndex:
-    """Backward search over a sequence of words 1..top, in which 0 parts stretches and ends the sequence."""
+    """Backward search over a sequence of words 1..top, in which a 0 ends each text."""
 
     def __init__(self, sequence: np.ndarray, top: int):
-        n = len(sequence)
-        apart = np.flatnonzero(sequence == 0)
-        rank = sequence.astype(np.int64) + len(apart)
-        rank[apart] = np.arange(len(apart))  # each end is a symbol of its own, so no comparison goes past it
-        step = 1
-        while True:
-            after = np.zeros(n, np.int64)
-            after[: n - step] = rank[step:] + 1
-            key = rank * (n + len(apart) + top + 2) + after
-            order = np.argsort(key, kind="stable")
-            new = np.empty(n, np.int64)
-            new[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-            rank = new
-            if n == 0 or rank[order[-1]] == n - 1:
-                break
-            step *= 2
-        self.n = n
-        last = sequence[order - 1].astype(np.int64)  # the transform; the symbol before the first is the last end
+        self.n = len(sequence)
+        order = suffix_order(sequence, top)
+        last = sequence[order - 1]  # the transform; the symbol before the first is the last end
         self.tree = WaveletTree(last, top)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(sequence, minlength=top + 1))])
         kept = (order % SAMPLE == 0) | (last == 0)
@@ -103,7 +143,7 @@ class FMIndex:
             live = live[(lo[live] < hi[live]) & (step < lengths[live])]
             if not len(live):
                 break
-            s = patterns[live, lengths[live] - 1 - step]
+            s = patterns[live, lengths[live] - 1 - step].astype(np.int64)
             lo[live] = self.before[s] + self.tree.rank(s, lo[live])
             hi[live] = self.before[s] + self.tree.rank(s, hi[live])
         return lo, np.maximum(lo, hi)
@@ -122,58 +162,95 @@ class FMIndex:
 
 
 class Phrases:
-    """The distinct windows of benchmark items, as numbers of words, and the items that hold each."""
+    """The distinct windows of benchmark items, as numbers of words, and the items that hold each; all of it in flat arrays."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
         self.names = [name for name, _ in items]
-        for k, (_, raw) in enumerate(items):
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(raw)]
-            for s in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[s : s + window]), set()).add(k)
-        self.lengths = np.array([len(x) for x in found], np.int64)
-        self.patterns = np.zeros((len(found), window), np.int64)
-        for i, x in enumerate(found):
-            self.patterns[i, : len(x)] = x
-        self.items = list(found.values())
-        self.shortest = int(self.lengths.min(initial=window))
-
-
-def search(texts: list[bytes], p: Phrases) -> tuple[np.ndarray, list[np.ndarray], list[set[int]]]:
-    """For each text of a shard: its number of words, whether each is hit, and the items found."""
-    get = p.vocabulary.get
-    ids = [np.fromiter(map(get, words, repeat(0)), np.int64) for words in map(words_of, texts)]
-    size = np.array([len(x) for x in ids], np.int64)
-    first = np.concatenate([[0], np.cumsum(size + 1)])  # a 0 after each text
-    flat = np.zeros(int(first[-1]), np.int64)
-    for at, x in zip(first, ids, strict=False):
-        flat[at : at + len(x)] = x
-    hit = np.zeros(len(flat) + 1, np.int64)
-    items: list[set[int]] = [set() for _ in texts]
-    # stretches of benchmark words; shorter ones than the shortest phrase can't hold one
-    known = np.concatenate([[False], flat > 0, [False]])
-    s, e = np.flatnonzero(known[1:] & ~known[:-1]), np.flatnonzero(known[:-1] & ~known[1:])
-    long_ = e - s >= p.shortest
-    s, e = s[long_], e[long_]
-    if len(s) and len(p.lengths):
-        n = e - s + 1  # with the 0 that ends it
-        at = np.concatenate([[0], np.cumsum(n)])
-        place = np.arange(at[-1]) - np.repeat(at[:-1] - s, n)
-        index = FMIndex(np.where(place == np.repeat(e, n), 0, flat[place]), len(p.vocabulary))
+        vocabulary: dict[bytes, int] = {}
+        ids = [np.fromiter((vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(raw)), np.int32) for _, raw in items]
+        self.vocabulary = list(vocabulary)
+        size = np.array([len(x) for x in ids], np.int64)
+        flat = np.concatenate([*ids, np.zeros(window, np.int32)])
+        many = np.where(size > 0, np.maximum(1, size - window + 1), 0)
+        item = np.repeat(np.arange(len(items)), many)
+        start = np.repeat(np.cumsum(size) - size, many) + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+        length = np.minimum(size[item], window)
+        rows = np.where(np.arange(window) < length[:, None], flat[start[:, None] + np.arange(window)], 0)
+        order = np.lexsort((item, *rows.T[::-1]))
+        rows, item, length = rows[order], item[order], length[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(1)
+        self.patterns, self.lengths = rows[new], length[new]
+        #: Entries of items from first[k] to first[k + 1] hold window k.
+        self.first = np.append(np.flatnonzero(new), len(rows))
+        self.items = item
+
+    def known(self) -> pa.Array:
+        return pa.array(self.vocabulary, pa.binary())
+
+
+def numbered(column: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts as symbols, a 0 after each text, and where each text begins.
+
+    A word of the benchmark is its number there; all other words share some
+    symbols after those, by a hash of theirs.
+    """
+    data, off = utf8(column)
+    folded = pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(_FOLDED[data])])
+    words, first = split_words(folded.view(pa.large_utf8()), lower=False)
+    found = words.cast(pa.large_binary()).dictionary_encode()
+    values = found.dictionary.cast(pa.binary())
+    number = pc.fill_null(pc.index_in(values, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    other = np.flatnonzero(number < 0)
+    number[other] = len(known) + (mix(other.astype(np.uint64)) % np.uint64(OTHERS)).astype(np.int64)
+    code = found.indices.to_numpy(zero_copy_only=False)
+    out = np.zeros(len(code) + len(off) - 1, np.int64)
+    out[np.arange(len(code)) + np.repeat(np.arange(len(off) - 1), np.diff(first))] = number[code] + 1
+    return out, first + np.arange(len(off))
+
+
+def search(column: pa.Array, p: Phrases, known: pa.Array) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """For each text of a shard: its number of words, whether each is hit, and the items found.
+
+    All words of the shard are in its index.
+    """
+    sequence, first = numbered(column, known)
+    hit = np.zeros(len(sequence) + 1, np.int64)
+    pairs: list[np.ndarray] = [np.zeros(0, np.int64)]
+    if len(p.lengths) and len(sequence) > len(first) - 1:
+        index = FMIndex(sequence, len(known) + OTHERS)
         lo, hi = index.count(p.patterns, p.lengths)
         which = np.repeat(np.arange(len(lo)), hi - lo)
         rows = np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
         for part in range(0, len(rows), 1 << 18):
             w = which[part : part + (1 << 18)]
-            found = place[index.locate(rows[part : part + (1 << 18)])]
+            found = index.locate(rows[part : part + (1 << 18)])
             np.add.at(hit, found, 1)
             np.add.at(hit, found + p.lengths[w], -1)
-            doc = np.searchsorted(first, found, "right") - 1
-            for pair in np.unique(doc * len(p.lengths) + w).tolist():
-                items[pair // len(p.lengths)] |= p.items[pair % len(p.lengths)]
-    cover = np.cumsum(hit) > 0
-    return size, [cover[a : a + n] for a, n in zip(first, size, strict=False)], items
+            text = np.searchsorted(first, found, "right") - 1
+            seen = distinct(text * len(p.lengths) + w)  # the windows of each text, and then their items
+            text, w = seen // len(p.lengths), seen % len(p.lengths)
+            n = p.first[w + 1] - p.first[w]
+            at = np.arange(int(n.sum())) + np.repeat(p.first[w] - (np.cumsum(n) - n), n)
+            pairs.append(distinct(np.repeat(text, n) * len(p.names) + p.items[at]))
+    pair = distinct(np.concatenate(pairs))
+    names = max(1, len(p.names))
+    cover, size = np.cumsum(hit) > 0, np.diff(first) - 1
+    cut = np.searchsorted(pair, np.arange(len(first)) * names)
+    return size, [cover[a : a + n] for a, n in zip(first[:-1], size, strict=True)], [pair[a:b] % names for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in batches of about a shard."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column("t").nbytes
+        if size >= SHARD_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -208,8 +285,9 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Repeated rows each get a row; no rows give no rows, no items no hits.
     Other columns are not read.
 
-    The benchmark is sent to the executors in blocks of a bounded size, each
-    block by a pass of its own over docs.
+    The benchmark's windows are sent to the executors in blocks of a bounded
+    size (about 50 bytes for each of its words), each block by a pass of its
+    own over docs.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -221,25 +299,24 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def seek(phrases) -> callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p = Phrases(phrases.value, window)
-            for batch in batches:
-                for part in slices(batch, "t", SHARD_BYTES):
-                    data, off = utf8(part.column("t"))
-                    raw = data.tobytes()
-                    texts = [raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-                    n, hits, found = search(texts, p)
-                    spans = [_spans(h) if f else [] for h, f in zip(hits, found, strict=True)]
+            p = phrases.value
+            known = p.known()
+            for batch in shards(batches):
+                for part in slices(batch, "t", SHARD_BYTES, 1 << 20):
+                    texts = part.column("t")
+                    n, hits, found = search(texts, p, known)
+                    spans = [_spans(h) if len(f) else [] for h, f in zip(hits, found, strict=True)]
                     changed = [k for k, x in enumerate(spans) if x]
                     pick = np.arange(len(texts))
                     pick[changed] = len(texts) + np.arange(len(changed))
-                    clean = pa.concat_arrays([part.column("t").cast(pa.string()), pa.array([remove_words(texts[k], spans[k]).decode() for k in changed], pa.string())]).take(pa.array(pick))
+                    clean = pa.concat_arrays([texts, pa.array([remove_words(texts[k].as_py().encode(), spans[k]).decode() for k in changed], pa.string())]).take(pa.array(pick))
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), pa.array(n), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted({p.names[k] for k in f}) for f in found], pa.list_(pa.string())), clean], names=[*passed, "n_words", "hit_spans", "item_ids", "clean_text"])
 
         return run
 
     def block(k: int):
         mine = items if passes == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(passes)) == k)
-        return spark.sparkContext.broadcast([(r.name, r.text.encode()) for r in mine.collect()])
+        return spark.sparkContext.broadcast(Phrases(sorted((r.name, r.text.encode()) for r in mine.collect()), window))
 
     if passes == 1:
         passed = ["i", *names]
@@ -266,7 +343,3 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column("i"), *(b.column(c) for c in names), pa.array(n, pa.int64()), pa.array([[{"start": x, "end": y} for x, y in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted(f or []) for f in b.column("f").to_pylist()], pa.list_(pa.string())), pa.array(clean, pa.string())], names=["i", *names, "n_words", "hit_spans", "item_ids", "clean_text"])
 
     return uncarried(arrow(keyed.join(found, ["k1", "k2"], "left").select("i", "t", "s", "f", *names), merge, f"i {kind}{kinds}, {_FOUND}, clean_text string"), carry, i=id_col)
-
-
-def digest(item_ids: list[str]) -> str:
-    return hashlib.sha256(",".join(item_ids).encode()).hexdigest()
