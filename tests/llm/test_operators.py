@@ -64,11 +64,15 @@ def test_simhash(docs, spark):
     want = _union(len(IDS), pairs)
     assert all(got[i] == {(f"{prints[i]:016x}", want[i])} for i in IDS)
     assert simhash.near_duplicates(spark.createDataFrame([], EMPTY)).count() == 0
-    # small tiles, and keys with more rows than a tile
+
+
+@pytest.mark.parametrize("block", [1, 3, 16])
+def test_simhash_tiles(spark, block):
+    """Small tiles, and keys with more rows than a tile."""
     rng = np.random.default_rng(1)
     base = rng.integers(-(2**62), 2**62, 300)
     near = np.concatenate([base, base[:150] ^ (1 << rng.integers(0, 60, 150)), base[0] ^ (1 << np.arange(60))])
-    roots = {r.id: r.root for r in graph.components(simhash.links(spark.createDataFrame([(int(x),) for x in np.unique(near)], "fp long"), 3, tile=16)).collect()}
+    roots = {r.id: r.root for r in graph.components(simhash.links(spark.createDataFrame([(int(x),) for x in np.unique(near)], "fp long"), 3, tile=16, block=block)).collect()}
     u = np.unique(near)
     i, j = np.nonzero(np.bitwise_count(u[:, None].view(np.uint64) ^ u[None, :].view(np.uint64)) <= 3)
     want = _union(len(u), zip(i, j, strict=True))
