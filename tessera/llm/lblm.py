@@ -194,10 +194,11 @@ def train_nce(w: Weights, examples: np.ndarray, noise: np.ndarray, rate: float =
     matrix product. The model's own normaliser is taken as 1, as is usual for
     this estimate. AdaGrad steps, with a rate for each output.
     """
-    w = Weights(w.r.copy(), w.q.copy(), w.c.copy(), w.b.copy())
+    # an unpickled array has a type object of its own, with which numpy adds at places many times slower
+    w = Weights(*(x.astype(np.float32) for x in (w.r, w.q, w.c, w.b)))
     rng, lanes = np.random.default_rng(seed), np.arange(DIM)
     cumulative, logk = np.cumsum(noise) / noise.sum(), np.log(NOISE * noise / noise.sum()).astype(np.float32)
-    grad_r, grad_q, grad_b = np.zeros_like(w.r), np.zeros_like(w.q), np.zeros_like(w.b)
+    grad_r, grad_q, grad_b = (np.zeros(x.shape, np.float32) for x in (w.r, w.q, w.b))
     steps = [(x, g, np.full(len(x), 0.1, np.float32)) for x, g in ((w.r, grad_r), (w.q, grad_q), (w.b[:, None], grad_b[:, None]))]
 
     def add(to: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
