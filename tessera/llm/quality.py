@@ -103,20 +103,19 @@ class Space:
         return np.clip(out, 0.0, 1.0)
 
 
-def build(texts: list[bytes], labels: list[int]) -> Space:
-    """Latent axes of the labelled texts' weighted terms, and the texts' own places there."""
-    x = np.zeros((len(texts), TERMS + features(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1] - TERMS))
-    for k, raw in enumerate(texts):
-        d = np.frombuffer(raw, np.uint8)
-        x[k] = features(d, np.array([0, len(d)]))[0]
+WIDTH = features(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
+
+
+def build(x: np.ndarray, labels: list[int]) -> Space:
+    """Latent axes of the labelled texts' weighted terms, and the texts' own places there; x has their features."""
     seen = (x[:, :TERMS] > 0).sum(axis=0)
     idf = np.log((1 + len(x)) / (1 + seen)) + 0.1
-    middle, spread = (x[:, TERMS:].mean(axis=0), np.maximum(x[:, TERMS:].std(axis=0), 1e-6)) if len(x) else (np.zeros(x.shape[1] - TERMS), np.ones(x.shape[1] - TERMS))
-    space = Space(idf, middle, spread, np.eye(x.shape[1]), np.zeros((0, DIM)), np.array(labels, float))
+    middle, spread = (x[:, TERMS:].mean(axis=0), np.maximum(x[:, TERMS:].std(axis=0), 1e-6)) if len(x) else (np.zeros(WIDTH - TERMS), np.ones(WIDTH - TERMS))
+    space = Space(idf, middle, spread, np.eye(WIDTH), np.zeros((0, DIM)), np.array(labels, float))
     if len(x):
         t = x[:, :TERMS] * idf
         t /= np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-12)
-        f = np.clip((x[:, TERMS:] - middle) / spread, -3, 3) * (FORM_WEIGHT / (3 * x.shape[1] - 3 * TERMS) ** 0.5)
+        f = np.clip((x[:, TERMS:] - middle) / spread, -3, 3) * (FORM_WEIGHT / (3 * WIDTH - 3 * TERMS) ** 0.5)
         a = np.concatenate([t, f], axis=1)
         _, axes = np.linalg.eigh(a.T @ a)
         space.axes = np.ascontiguousarray(axes[:, -DIM:])
@@ -125,18 +124,38 @@ def build(texts: list[bytes], labels: list[int]) -> Space:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", each: int = NEIGHBOURS_EACH) -> Space:
-    """The space of a bounded choice of labelled rows; rows without a text or label are left out."""
-    marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["i"])
+    """The space of a bounded choice of labelled rows; rows without a text or label are left out.
+
+    An id with several labels has the smallest, and one with several texts the
+    one of the smallest hash. Texts become features where they are, so the
+    driver gets a vector of one size for each chosen row.
+    """
+    marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
     few = sample_by_class(marked, "y", "i", each).select("i", "y")
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    chosen = rows.join(F.broadcast(few), "i").select(F.col("i").cast("string").alias("i"), "t", "y").collect()
-    chosen.sort(key=lambda r: (r.i or "", r.t))
-    return build([r.t.encode() for r in chosen], [r.y for r in chosen])
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").join(few, "i")
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t", 1 << 20, 1024):
+                x = features(*utf8(part.column("t")))
+                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("h"), part.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["i", "h", "y", "x"])
+
+    hashed = rows.select(F.col("i").cast("string").alias("i"), F.xxhash64("t").alias("h"), "y", "t")
+    described = arrow(hashed, describe, "i string, h long, y int, x binary")
+    chosen = described.groupBy("i").agg(F.min(F.struct("h", "y", "x")).alias("r")).select("i", "r.*").collect()
+    chosen.sort(key=lambda r: (r.i, r.h))
+    x = np.frombuffer(b"".join(r.x for r in chosen), np.float64).reshape(len(chosen), WIDTH)
+    return build(x, [r.y for r in chosen])
 
 
 def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score) for every row of docs, over whole texts; higher means that label 1 is likelier.
 
+    The vote is the share of label 1 among the VOTERS most similar labelled
+    texts, each weighted by its similarity to the power SHARPNESS; equal
+    similarities may be taken in any order. Terms are hashed pairs of bytes,
+    beside some measures of form (repeats, capitals, marks, word lengths).
+
     Null and empty texts are scored as texts without terms. Repeated rows each
     get a row; other columns are not read; no rows give no rows; without
     labelled rows all scores are 0.5.
