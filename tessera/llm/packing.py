@@ -19,8 +19,10 @@ from .common import arrow, cut, slices, split_words, utf8
 CAPACITY = 4096
 #: The id that ends each document.
 END = 1
+#: Bytes of text that are split into words at once.
+TEXT_BYTES = 4 << 20
 #: Words whose ids a worker remembers.
-CACHE = 700_000
+CACHE = 1_000_000
 #: Parts words that are encoded together; as an added token it has an id that no word gets.
 _PART = "<|startoftext|>"
 #: What a tokenizer does with a text before its pieces are looked up, if its ids can be had word by word. Fixed values, as the vocabulary file has them.
@@ -116,10 +118,10 @@ def _by_words(data: np.ndarray, off: np.ndarray, encoder: Encoder) -> tuple[np.n
         low = np.where(_UPPER[data] & (nxt < 128), data + np.uint8(32), data).astype(np.uint8)
         apart = np.zeros(len(data), bool)
         apart[1:] = _PUNCT[data[1:]] & _ALNUM[data[:-1]]
-        shift = np.cumsum(apart)
-        wide = np.full(len(data) + int(shift[-1]), 32, np.uint8)
-        wide[np.arange(len(data)) + shift] = low
-        off = off + np.concatenate([[0], shift])[off]
+        apart[off[off < len(data)]] = False  # a text's first byte begins a word as it is
+        marks = np.flatnonzero(apart)
+        wide = np.insert(low, marks, np.uint8(32))
+        off = off + np.searchsorted(marks, off)
         data = wide
     texts = pa.Array.from_buffers(pa.large_utf8(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data)])
     words, first = split_words(texts, lower=False)
@@ -151,7 +153,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, cap
         seen: dict[int, int] = {}
         end = np.array([END], "<u4")
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", TEXT_BYTES):
                 flat, begin = token_ids(*utf8(part.column("t")), encoder)
                 rows, out = [], []
                 for i, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
