@@ -209,10 +209,11 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def sample_by_class(rows: DataFrame, label: str, key: str, each: int, parts: int = 1 << 20) -> DataFrame:
     """About `each` rows of each class, or all it has: a fixed choice by hash of the key, so it needs no sort.
 
-    Only the number of rows of each class is counted, and joined to the rows;
-    how that join is done is Spark's choice by the size of the counts.
+    Only the number of rows of each class is counted, and joined to the rows.
+    The counts are written first, so Spark knows their size when it chooses
+    how to join: the rows move only if the classes are too many to be sent.
     """
-    counts = rows.groupBy(label).agg(F.count("*").alias("class_rows"))
+    counts = cut(rows.groupBy(label).agg(F.count("*").alias("class_rows")))
     share = F.least(F.lit(1.0), F.lit(float(each)) / F.col("class_rows"))
     return rows.join(counts, label).where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(parts)) < share * parts).drop("class_rows")
 

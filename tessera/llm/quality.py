@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Rolling, arrow, remainder, sample_by_class, slices, utf8, word_spans
+from .common import SPACE, Rolling, arrow, cut, remainder, sample_by_class, slices, utf8, word_spans
 
 #: Labelled documents of each class that vote, at most about so many.
 NEIGHBOURS_EACH = 2000
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     driver gets a vector of one size for each chosen row.
     """
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
-    few = sample_by_class(marked, "y", "i", each).select("i", "y")
+    few = cut(sample_by_class(marked, "y", "i", each).select("i", "y"))  # about 2 * each rows, of a known size
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").join(few, "i")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
