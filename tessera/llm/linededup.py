@@ -23,11 +23,13 @@ BANDS, ROWS = 12, 5
 #: Lines of a candidate group that meet in one task; larger groups meet in blocks of so many.
 BLOCK = 1024
 #: Bytes of text that become numpy arrays at once; small enough for a core's cache.
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: Characters of lines that are verified at once.
-HELD_CHARS = 1 << 20
+HELD_CHARS = 1 << 18
+#: Bands that a task holds before it sends them, sorted.
+HELD_BANDS = 1 << 19
 #: Lines that a task remembers to have signed, and groups that it remembers to have told.
-SEEN = 1 << 20
+SEEN = 1 << 18
 
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _EMPTY = np.uint64(2**64 - 1)
@@ -300,7 +302,7 @@ def near_line_edges(docs: DataFrame, text_col: str = "t", similarity: float = 0.
                 keys.append(band.ravel())
                 lines.append(np.repeat(key.view(np.int64), BANDS))
                 held += band.size
-                if held > 1 << 21:
+                if held > HELD_BANDS:
                     yield from flush()
                     keys, lines, held = [], [], 0
         if keys:
