@@ -110,8 +110,6 @@ class Lines:
         h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xC2B2AE3D27D4EB4F)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0x9E3779B97F4A7C15)
         # each character's line, or one more for those at which no chosen line has a shingle
         n = np.maximum(size - SHINGLE + 1, 1)
         order = np.argsort(starts)
@@ -368,7 +366,7 @@ def near_line_edges(docs: DataFrame, text_col: str = "t", similarity: float = 0.
                     yield batch_of(_TEXTS, key.view(np.int64), [x.text(k) for k in at.tolist()])
 
     texts = arrow(rows, fetch, "key long, text string")
-    texts = cut(texts.join(groups.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
+    texts = cut(texts.dropDuplicates(["key"]))  # a few that the filter let pass meet no group
     sizes = cut(groups.groupBy("gid").agg(F.count("*").alias("n"), F.min("key").alias("leader")).withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int")))
     own = F.pmod(F.xxhash64("key", "gid"), F.col("blocks")).cast("int")
     large = sizes.where("blocks > 1")
